@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumisift.llm import decontam, jaccard, secrets, toxicity
 from lumisift.llm.common import table
 
 
-def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumisift.llm.jaccard import similar_groups
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.chain_of(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
 
-    return similar_groups(table(spark, sf_dir, "documents"))
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_jaccard": op8_jaccard}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_decontam": op4_decontam, "op8_jaccard": op8_jaccard}
 
 ORACLES: dict[str, str] = {}
