@@ -47,12 +47,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/lumisift/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumisift/{uuid.uuid4().hex}"
+    path = shared_folder(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

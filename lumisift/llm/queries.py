@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm import decontam, jaccard, secrets, toxicity
-from lumisift.llm.common import table
+from lumisift.llm import bpe, decontam, idstore, jaccard, secrets, toxicity
+from lumisift.llm.common import shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.chain_of(docs, table(spark, sf_dir, "labels")))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.stored_summary(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), shared_folder(spark, "idstore"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,10 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_decontam": op4_decontam, "op8_jaccard": op8_jaccard}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_idstore, op3_secrets, op4_decontam, op8_jaccard, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
