@@ -26,9 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumisift.llm.common import id_text, text_batches
 
@@ -222,14 +224,14 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the findings in text replaced by marks; every row and column stays."""
-    return docs.withColumn("text", _redacted_udf()(docs["text"].cast("string")))
+    """docs with the findings in text replaced by marks, and n_chars, where there is one, counted anew; every row and column stays."""
+    out = docs.withColumn("text", _redacted_udf()(docs["text"].cast("string")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(docs["n_chars"].isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def _redacted_udf():
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
         return pd.Series([redact(t) for t in text], dtype=object)
