@@ -8,7 +8,9 @@ which gives the ids that merging by rank gives.
 Texts are cut before single spaces and line ends between non-space characters. No match of the
 pattern crosses such a place, so a piece has the same ids anywhere, and each worker encodes a
 piece once while it keeps being met (two generations of a bounded cache). New pieces go to the
-library together; the byte lengths of the ids part the result again.
+library together; the byte lengths of the ids part the result again. Of pieces that are a word and
+some punctuation the words go, as single matches with their bytes already mapped to characters, to
+the same model without a pre-tokenizer's pattern; the punctuation's ids are put behind.
 
 Offsets come from the byte lengths of the ids: token i covers bytes starts[i] to starts[i+1];
 character offsets count the bytes that begin a character, so a token that begins inside a
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 
 from lumisift.llm.common import id_text, text_batches
 
-GENERATION = 400_000
+GENERATION = 600_000
+#: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
+_PUNCTUATION, _LAST_LETTER = ".,;:!?", "\u024f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -48,12 +53,20 @@ def byte_characters() -> list[str]:
 
 
 def _of_file(path: str):
-    from tokenizers import Tokenizer
+    """Tokenizer, the same model over words that are parted by spaces (or None), and the bytes of each id."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    words = None
+    own = json.loads(tokenizer.to_str())
+    before, model = own["pre_tokenizer"] or {}, own["model"]
+    if model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"] and own["normalizer"] is None:
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        words = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, ignore_merges=model.get("ignore_merges", False)))
+        words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     back = {c: b for b, c in enumerate(byte_characters())}
-    return tokenizer, {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in tokenizer.get_vocab().items()}
+    return tokenizer, words, {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in tokenizer.get_vocab().items()}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,7 +85,9 @@ def _of_ranks(path: str):
         merges += [(name[a], name[b]) for a, b in sorted(halves, key=lambda h: (ranks[h[0]], ranks[h[1]]))]
     tokenizer = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
     tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-    return tokenizer, {r: t for t, r in ranks.items()}
+    words = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, cache_capacity=0, ignore_merges=True))
+    words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return tokenizer, words, {r: t for t, r in ranks.items()}
 
 
 class Codec:
@@ -80,12 +95,14 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, of = _of_ranks(path) if path.endswith(".tiktoken") else _of_file(path)
+        self.tokenizer, self.words, of = _of_ranks(path) if path.endswith(".tiktoken") else _of_file(path)
         size = max(of) + 1
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.sizes = np.array([len(of.get(i, b"")) for i in range(size)], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(of.get(i, b"") for i in range(size)), dtype=np.uint8)
         self.firsts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.shown = dict(enumerate(byte_characters()))
+        self.tails: dict[str, bytes] = {}
         self.known: dict = {}
         self.older: dict = {}
 
@@ -107,16 +124,56 @@ class Codec:
     def _piece(key) -> str:
         return key[0] if isinstance(key, tuple) else key if key[0] == "\n" else " " + key
 
+    def _tail(self, text: str) -> bytes:
+        if (found := self.tails.get(text)) is None:
+            found = self.tails[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return found
+
+    def _learn_words(self, keys: list) -> list:
+        """Learns the pieces that are a word, perhaps with punctuation behind it; returns the others."""
+        parts, words, others = [], {}, []
+        for key in keys:
+            line = key[0] == "\n"
+            word = key.rstrip(_PUNCTUATION)[line:]
+            if word.isalpha() and max(word) <= _LAST_LETTER:
+                tail = key[line + len(word) :]
+                if line:
+                    words[key[: 1 + len(word)]] = word
+                    parts.append((key, key[: 1 + len(word)], tail))
+                else:
+                    if word not in self.known:
+                        words[word] = " " + word
+                    if tail:
+                        parts.append((key, word, tail))
+            else:
+                others.append(key)
+        if words:
+            sent = "\n".join(words.values()).encode()
+            text = sent.decode("latin-1").translate(self.shown).replace(self.shown[10], " ")
+            self._part(list(words), self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, [len(w.encode()) for w in words.values()])
+            end = self._tail("\n")
+            for key in words:
+                if key[0] == "\n":
+                    self.known[key] = end + self.known[key]
+        for key, word, tail in parts:
+            self.known[key] = self.known[word] + self._tail(tail) if tail else self.known[word]
+        return others
+
+    def _part(self, keys: list, ids: list[int], sizes: list[int]) -> None:
+        """Gives each key its share of the ids: those of so many bytes."""
+        own = np.array(ids, dtype=self.dtype)
+        ends = np.searchsorted(np.cumsum(self.sizes[own]), np.cumsum(sizes)) + 1
+        data, begin = own.tobytes(), 0
+        for key, end in zip(keys, (ends * self.dtype.itemsize).tolist(), strict=True):
+            self.known[key] = data[begin:end]
+            begin = end
+
     def _learn(self, joined: list, alone: list) -> None:
+        if self.words is not None:
+            joined = self._learn_words(joined)
         if joined:
             pieces = [self._piece(k) for k in joined]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-            data, width = ids.tobytes(), self.dtype.itemsize
-            begin = 0
-            for key, end in zip(joined, (ends * width).tolist(), strict=True):
-                self.known[key] = data[begin:end]
-                begin = end
+            self._part(joined, self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, [len(p.encode()) for p in pieces])
         for key, e in zip(alone, self.tokenizer.encode_batch_fast([self._piece(k) for k in alone], add_special_tokens=False) if alone else (), strict=True):
             self.known[key] = np.array(e.ids, dtype=self.dtype).tobytes()
 
@@ -129,16 +186,18 @@ class Codec:
             if len(self.known) > GENERATION:
                 self.older, self.known = self.known, {}
             keys, safe = self._pieces(text)
-            try:
-                yield b"".join(map(self.known.__getitem__, keys))
-                continue
-            except KeyError:
-                new = [k for k in set(keys) if k not in self.known]
-            if self.older:
-                self.known.update((k, self.older[k]) for k in new if k in self.older)
-                new = [k for k in new if k not in self.known]
-            self._learn([k for k in new if safe and isinstance(k, str)], [k for k in new if not safe or isinstance(k, tuple)])
-            yield b"".join(map(self.known.__getitem__, keys))
+            found = list(map(self.known.get, keys))
+            if None in found:
+                gaps = [i for i, v in enumerate(found) if v is None]
+                new = {keys[i] for i in gaps}
+                if self.older:
+                    again = new & self.older.keys()
+                    self.known.update((k, self.older[k]) for k in again)
+                    new -= again
+                self._learn([k for k in new if safe and isinstance(k, str)], [k for k in new if not safe or isinstance(k, tuple)])
+                for i in gaps:
+                    found[i] = self.known[keys[i]]
+            yield b"".join(found)
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.dtype)
