@@ -1,10 +1,6 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""All registered queries and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from lumisift.plans import articles, prompting, retrieval, texts  # noqa: F401
+from lumisift.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
