@@ -56,20 +56,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Non-negative L1 logistic regression by accelerated proximal gradient."""
-    n, k = x.shape
+    n = len(y)
+    rows, at = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True) if x.shape[1] else (np.zeros(1), np.zeros(n, dtype=int))
+    x = rows.view(x.dtype).reshape(len(rows), -1) if x.shape[1] else np.zeros((1, 0))  # equal rows are one, with a weight
+    each, hits = np.bincount(at, minlength=len(x)).astype(float), np.bincount(at, weights=y, minlength=len(x))
+    k = x.shape[1]
     w, b = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     if not 0 < y.sum() < n:
         return w, b
     u = np.ones(k)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
-        u = x.T @ (x @ u) + 1e-12
+        u = x.T @ (each * (x @ u)) + 1e-12
         u /= np.linalg.norm(u)
-    step = 4 * n / (float(u @ (x.T @ (x @ u))) + n)
+    step = 4 * n / (float(u @ (x.T @ (each * (x @ u)))) + n)
     v, c, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        off = _sigmoid(x @ v + c) - y
+        off = each * _sigmoid(x @ v + c) - hits
         w2 = np.maximum(v - step * (x.T @ off / n + penalty), 0)
-        b2 = c - step * off.mean()
+        b2 = c - step * off.sum() / n
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
@@ -106,21 +110,25 @@ class Chain:
         return out
 
 
-def train(texts: list[set[str]], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
-    """texts: the words of each; labels: 0 or 1 for each category, in the chain's order."""
+def chosen(texts: list[list[str]], toxic: np.ndarray) -> dict[str, int]:
+    """Words and beginnings that are much more common in toxic texts; only names that some of those share are counted."""
+    p, q = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    bad = Counter(n for own, y in zip(texts, toxic, strict=True) if y for n in {n for w in own for n in names_of(w)})
+    bad = {n: k for n, k in bad.items() if k >= 3}
+    good = Counter(n for own, y in zip(texts, toxic, strict=True) if not y for n in {n for w in own for n in names_of(w) if n in bad})
+    lift = {n: k * np.log((k + 0.5) / p / ((good[n] + 0.5) / q)) for n, k in bad.items() if k / p > 4 * (good[n] / q)}
+    return {n: i for i, n in enumerate(sorted(lift, key=lambda n: (-lift[n], n))[:FEATURES])}
+
+
+def train(texts: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+    """texts: the distinct words of each; labels: 0 or 1 for each category, in the chain's order."""
     categories, last = list(labels), np.asarray(list(labels.values())[-1])
     if not len(last) or not last.any():
         return Chain(categories, {}, [np.zeros(i) for i in range(len(categories))], [-30.0] * len(categories), 0.5)
-    named = [{n for w in ws for n in names_of(w)} for ws in texts]
-    bad, good = Counter(), Counter()
-    for own, y in zip(named, last, strict=True):
-        (bad if y else good).update(own)
-    p, q = max(1, int(last.sum())), max(1, int((1 - last).sum()))
-    lift = {n: k * np.log((k + 0.5) / p / ((good[n] + 0.5) / q)) for n, k in bad.items() if k >= 3 and (k / p) > 4 * (good[n] / q)}
-    features = {n: i for i, n in enumerate(sorted(lift, key=lambda n: (-lift[n], n))[:FEATURES])}
+    features = chosen(texts, last)
     x = np.zeros((len(texts), len(features)))
-    for i, own in enumerate(named):
-        x[i, [features[n] for n in own if n in features]] = 1
+    for i, own in enumerate(texts):
+        x[i, [features[n] for w in own for n in names_of(w) if n in features]] = 1
     weights, bases, earlier = [], [], np.zeros((len(texts), 0))
     for y in labels.values():
         y, z = np.asarray(y, dtype=float), np.hstack([x, earlier])
@@ -164,9 +172,11 @@ def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> pd.Data
 def chain_of(docs: DataFrame, labels: DataFrame) -> Chain:
     text_batches(docs.sparkSession)
     rows = sample_of(docs, labels)
-    texts, toxic = [set(w) for w in rows["words"]], rows["toxic"].to_numpy(dtype=float)
-    weak = {name: np.array([float(y and bool(ws & words)) for ws, y in zip(texts, toxic, strict=True)]) for name, words in WEAK.items()}
-    return train(texts, weak | {"toxic": toxic}, rows["doc_id"].to_numpy(dtype=np.int64) * 2654435761 % 1000003 % FOLDS)
+    once: dict[str, str] = {}  # one object for each word keeps the driver small
+    texts, toxic, ids = [[once.setdefault(w, w) for w in ws] for ws in rows.pop("words")], rows["toxic"].to_numpy(dtype=float), rows["doc_id"].to_numpy(dtype=np.int64)
+    del once, rows
+    weak = {name: np.array([float(y and not words.isdisjoint(ws)) for ws, y in zip(texts, toxic, strict=True)]) for name, words in WEAK.items()}
+    return train(texts, weak | {"toxic": toxic}, ids * 2654435761 % 1000003 % FOLDS)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
