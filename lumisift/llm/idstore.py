@@ -4,7 +4,8 @@ Each document's ids, with the end id appended, are cut into chunks where a rolli
 last WINDOW ids has MASK's bits clear, so equal passages give equal chunks wherever they stand.
 A chunk's address is a hash of its ids. Files, all Parquet, under one folder:
 
-chunks/    hash, ids: each unique chunk once; ids little-endian, 2 bytes each if the vocabulary allows, else 4
+staged/    kind=chunk: key, ids: each unique chunk once; ids little-endian, 2 bytes each if the vocabulary allows, else 4
+           kind=recipe: the recipes as they came, from which the manifest is made
 manifest/  in ascending doc_id order: doc_id, start (ids of all documents before it), n_tokens, hashes
            and sizes of its chunks (the recipe), and root, the Merkle root over the hashes
 
@@ -174,12 +175,17 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     with_start.select("doc_id", "start", "n_tokens", "hashes", "sizes", "root").repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/manifest")
 
 
+def _staged(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Only the files and columns of one kind are read; a store of nothing has no files at all."""
+    return spark.read.schema(_STAGED_SQL).parquet(f"{path}/staged").where(F.col("kind") == kind)
+
+
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, hashes array<binary>, sizes array<int>, root binary").parquet(f"{path}/staged/kind=recipe")
+    return _staged(spark, path, "recipe").select("doc_id", "n_tokens", "hashes", "sizes", "root")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, ids binary").parquet(f"{path}/staged/kind=chunk").select(F.col("key").alias("hash"), "ids")
+    return _staged(spark, path, "chunk").select(F.col("key").alias("hash"), "ids")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -154,7 +154,7 @@ def cut_point(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
-    """doc_id, toxic and words of at most size toxic and twice as many other labelled rows."""
+    """doc_id, toxic and the distinct words, a line each, of at most size toxic and twice as many other labelled rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     most = {0: 2 * size, 1: size}
@@ -163,17 +163,17 @@ def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> pd.Data
 
     def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "words": [sorted(words_of(t)) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "words": ["\n".join(sorted(words_of(t))) for t in part["text"]]})
 
     got = id_text(docs).where("text is not null").join(F.broadcast(drawn), "doc_id")  # at most 4 * size pairs of numbers are broadcast
-    return got.mapInPandas(words, "doc_id long, toxic int, words array<string>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    return got.mapInPandas(words, "doc_id long, toxic int, words string").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
 
 
 def chain_of(docs: DataFrame, labels: DataFrame) -> Chain:
     text_batches(docs.sparkSession)
     rows = sample_of(docs, labels)
     once: dict[str, str] = {}  # one object for each word keeps the driver small
-    texts, toxic, ids = [[once.setdefault(w, w) for w in ws] for ws in rows.pop("words")], rows["toxic"].to_numpy(dtype=float), rows["doc_id"].to_numpy(dtype=np.int64)
+    texts, toxic, ids = [[once.setdefault(w, w) for w in ws.split("\n")] for ws in rows.pop("words")], rows["toxic"].to_numpy(dtype=float), rows["doc_id"].to_numpy(dtype=np.int64)
     del once, rows
     weak = {name: np.array([float(y and not words.isdisjoint(ws)) for ws, y in zip(texts, toxic, strict=True)]) for name, words in WEAK.items()}
     return train(texts, weak | {"toxic": toxic}, ids * 2654435761 % 1000003 % FOLDS)
