@@ -17,7 +17,7 @@ def near_match(part: str, text: str, most: int) -> tuple[int, int] | None:
     its start is the latest one that gives its distance. The search goes column by column of the
     usual table of edit distances with free starts, keeping where each alignment began.
     """
-    if not part:
+    if len(part) <= most or not part:
         return (0, 0)
     if (exact := text.find(part)) >= 0 and most == 0:
         return exact, exact + len(part)

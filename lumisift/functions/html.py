@@ -157,7 +157,7 @@ def parsed(key: Column, html: Column) -> Column:
                 rows.append(page_fields(k, page) if page is not None else {})
             except (ValueError, AssertionError, RecursionError):
                 rows.append({})
-        return pd.DataFrame(rows, columns=PAGE.names)
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in PAGE.names})
 
     return run(key.cast("string"), html)
 
