@@ -9,8 +9,8 @@ layer are spans of the document. A layer that was seen before at the same place
 up again (cycles end), and every decoding but decompression shortens its text.
 
 Spans are (kind, start, end) in code points, end exclusive, of whole matches. A compressed
-layer is read up to LAYER_BYTES decompressed bytes, a guard against bombs; `oversize` counts
-the layers that it stopped. Null and empty texts have no findings. Repeated rows are scanned
+layer is read to its end in windows of WINDOW_BYTES that overlap by OVERLAP characters, so memory
+stays bounded whatever it unfolds to; `windowed` counts layers of more than one window. Null and empty texts have no findings. Repeated rows are scanned
 alike. Each document is one row's work, whatever its length.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import re
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from lumisift.llm.common import id_text, text_batches
 
 KINDS = ("assign", "access", "hex")
-LAYER_BYTES = 64 << 20
+WINDOW_BYTES, OVERLAP = 16 << 20, 4096
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ASSIGN_HINT = re.compile(r"(?:passw|secret|token|api)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -43,6 +44,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _MAGIC = (b"\x1f\x8b", b"BZh", b"\x28\xb5\x2f\xfd")
 
 Span = tuple[int, int, int]
@@ -65,25 +67,62 @@ def _text(data: bytes) -> str | None:
         found = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return None if any(ord(c) < 32 and c not in "\t\n\r" for c in found) else found
+    return None if _CONTROL.search(found) else found
 
 
-def _inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """What compressed data holds, and whether it was more than LAYER_BYTES."""
-    zlib_like = len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
-    if not zlib_like and not data.startswith(_MAGIC):
-        return None, False
+def _inflated(data: bytes) -> Iterator[bytes] | None:
+    """What compressed data holds, in windows; None for other data. Ends where the data is broken."""
+    if data.startswith(_MAGIC[2]):
+        return _unzstd(data)
+    if data.startswith(_MAGIC[1]):
+        return _unbz2(data)
+    if data.startswith(_MAGIC[0]) or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return _unzlib(data)
+    return None
+
+
+def _unzstd(data: bytes) -> Iterator[bytes]:
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(data) as stream:
+            while out := stream.read(WINDOW_BYTES):
+                yield out
+    except zstandard.ZstdError:
+        return
+
+
+def _unbz2(data: bytes) -> Iterator[bytes]:
+    stream = bz2.BZ2Decompressor()
     try:
-        if data.startswith(_MAGIC[2]):
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(LAYER_BYTES + 1)
-        elif data.startswith(_MAGIC[1]):
-            out = bz2.BZ2Decompressor().decompress(data, LAYER_BYTES + 1)
-        else:
-            out = zlib.decompressobj(47).decompress(data, LAYER_BYTES + 1)
-    except (zlib.error, OSError, ValueError, EOFError, zstandard.ZstdError):
-        return None, False
-    return out[:LAYER_BYTES], len(out) > LAYER_BYTES
+        out = stream.decompress(data, WINDOW_BYTES)
+        while out:
+            yield out
+            out = b"" if stream.eof or stream.needs_input else stream.decompress(b"", WINDOW_BYTES)
+    except (OSError, EOFError):
+        return
+
+
+def _unzlib(data: bytes) -> Iterator[bytes]:
+    stream = zlib.decompressobj(47)
+    try:
+        while out := stream.decompress(data, WINDOW_BYTES):
+            yield out
+            data = stream.unconsumed_tail
+    except zlib.error:
+        return
+
+
+def _texts(windows: Iterator[bytes]) -> Iterator[str]:
+    """Windows as text, each with the end of the one before it; ends at bytes that are no text."""
+    decoder, before = codecs.getincrementaldecoder("utf-8")(), ""
+    for data in windows:
+        try:
+            found = decoder.decode(data)
+        except UnicodeDecodeError:
+            return
+        if _CONTROL.search(found):
+            return
+        yield before + found
+        before = found[-OVERLAP:]
 
 
 def _percent(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -132,8 +171,8 @@ def _escapes(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield out, first, last
 
 
-def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
-    """A layer for each stretch that is base64 of text, or of compressed text."""
+def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """A layer for each stretch that is base64 of text, and for each window of compressed text in base64."""
     for m in _BASE64.finditer(layer):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         for skip in range(min(4, len(body))) if "/" in body else (0,):  # a path may stand before it
@@ -144,44 +183,57 @@ def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
                 data = base64.b64decode(own + "=" * (-len(own) % 4))
             except (binascii.Error, ValueError):
                 continue
-            inner, more = _inflated(data)
-            if (found := _text(inner if inner is not None else data)) is None or not found:
-                continue
-            if inner is not None:
-                first, last = np.full(len(found), m.start()), np.full(len(found), m.end())
-            else:
+            hit = False
+            if (windows := _inflated(data)) is not None:
+                for found in _texts(windows):
+                    hit = True
+                    yield found, np.full(len(found), m.start()), np.full(len(found), m.end())
+            elif found := _text(data):
+                hit = True
                 sizes = np.array([len(c.encode()) for c in found])
                 ends = np.cumsum(sizes)
-                first, last = m.start() + skip + (ends - sizes) * 4 // 3, m.start() + skip + -(-ends * 4 // 3)
-            yield found, first, last, more
-            break
+                yield found, m.start() + skip + (ends - sizes) * 4 // 3, m.start() + skip + -(-ends * 4 // 3)
+            if hit:
+                break
+
+
+def _decoded(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Layers that are one step below this one, made one at a time."""
+    if "%" in layer:
+        yield from _percent(layer)
+    if "\\" in layer or "&#" in layer:
+        yield from _escapes(layer)
+    yield from _base64(layer)
 
 
 def find(text: str | None) -> tuple[list[Span], set[Span], int, int]:
-    """Spans of the text itself; spans of all layers; layers decoded; layers that were too large."""
+    """Spans of the text itself; spans of all layers; layers decoded; those that needed more than one window."""
     text = text or ""
     base = base_spans(text)
-    spans, oversize, layers = set(base), 0, 0
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    spans, windowed, layers = set(base), 0, 0
+    # layers in work, each with the places of its characters in the document and what is still to be decoded from it
+    work = [(None, None, _decoded(text))]
     seen: set[tuple[int, int, bytes]] = set()
+    last_place = None
     while work:
-        layer, first, last = work.pop()
-        made = [(*x, False) for x in _percent(layer)] if "%" in layer else []
-        made += [(*x, False) for x in _escapes(layer)] if "\\" in layer or "&#" in layer else []
-        made += _base64(layer)
-        for inner, a, b, more in made:
-            oversize += more
-            if not len(inner):
-                continue
-            if first is not None:  # positions in the layer become positions in the document
-                a, b = first[a], last[b - 1]
-            if (key := (int(a[0]), int(b[-1]), hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest())) in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            spans.update((int(a[s]), k, int(b[e - 1])) for s, k, e in base_spans(inner))
-            work.append((inner, a, b))
-    return base, spans, layers, oversize
+        first, last, below = work[-1]
+        if (made := next(below, None)) is None:
+            work.pop()
+            continue
+        inner, a, b = made
+        if not len(inner):
+            continue
+        if first is not None:  # positions in the layer become positions in the document
+            a, b = first[a], last[b - 1]
+        if (key := (int(a[0]), int(b[-1]), hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest())) in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        windowed += key[:2] == last_place and len(inner) > OVERLAP and a[0] == a[-1]
+        last_place = key[:2]
+        spans.update((int(a[s]), k, int(b[e - 1])) for s, k, e in base_spans(inner))
+        work.append((a, b, _decoded(inner)))
+    return base, spans, layers, int(windowed)
 
 
 def listed(spans: list[Span]) -> str:
@@ -192,21 +244,21 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols: list[list] = [[] for _ in range(7)]
         for text in batch.column("text").to_pylist():
-            base, spans, layers, oversize = find(text)
+            base, spans, layers, windowed = find(text)
             counts = [sum(k == n for _, k, _ in base) for n in range(3)]
-            for col, v in zip(cols, [*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(spans)), layers, oversize], strict=True):
+            for col, v in zip(cols, [*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(spans)), layers, windowed], strict=True):
                 col.append(v)
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=_NAMES)
 
 
-_NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "oversize"]
+_NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "windowed"]
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """A row for each document: counts and digest of the spans in the text itself, all spans, layers decoded."""
     text_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(_found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, oversize long")
+    return id_text(docs).mapInArrow(_found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, windowed long")
 
 
 def redact(text: str | None) -> str | None:

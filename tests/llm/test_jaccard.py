@@ -80,6 +80,13 @@ def test_repeated_rows_and_empty_table(spark):
     assert jaccard.similar_groups(df.limit(0)).count() == 0
 
 
+def test_rows_that_are_kept(spark):
+    rows = [(None, "p q r s t u"), (None, "p q r s t u"), (None, "other words"), (1, "a b c d e f"), (1, "different text of the same id"), (2, "a b c d e f"), (3, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=repr)
+    assert kept == sorted({r for r in rows if r[0] != 2}, key=repr)
+
+
 def test_one_doc_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "", 0), (1, "q r s t u v", "", 0), (2, "q r s t u v", "", 0)], DOCS)
     out = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_groups(df).collect())

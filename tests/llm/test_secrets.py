@@ -67,10 +67,14 @@ def test_cycles_end_and_edge_cases():
     assert S.redact("no secret here") == "no secret here" and S.redact(None) is None
 
 
-def test_oversize(monkeypatch):
-    monkeypatch.setattr(S, "LAYER_BYTES", 1000)
-    text = base64.b64encode(gzip.compress(b"a b " * 5000)).decode()
-    assert S.find(text)[3] == 1
+def test_large_layers_are_read_to_their_end(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW_BYTES", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 100)
+    hidden = "é " * 900 + 'x api_key: "Abcdefghij0123456789" ' + "b " * 3000 + "AKIA" + "Z9" * 10
+    for pack in (gzip.compress, bz2.compress, zstandard.compress):
+        text = base64.b64encode(pack(hidden.encode())).decode()
+        _, spans, _, windowed = S.find(text)
+        assert windowed and {k for _, k, _ in spans} >= {0, 1}, pack
 
 
 def test_table(spark):
