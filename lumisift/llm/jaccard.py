@@ -212,6 +212,12 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs without the rows that are not the smallest doc_id of their class; all columns stay. Of rows with one doc_id, one stays."""
+    """docs without the rows that are not the smallest doc_id of their class; all columns stay.
+
+    Rows that share a doc_id stand or fall together; of those that share the text too, one stays. Rows
+    with a null doc_id can't be named, so they stay, each text once.
+    """
     gone = similar_groups(docs, threshold, tolerance).where("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    own = "text hash" + "_" * max(map(len, docs.columns))  # no column has this name
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns).withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
