@@ -54,8 +54,9 @@ class Items:
         found = np.array([documents.get(r, 0) for r in range(len(self.runs))])
         each = np.repeat(found, np.diff(self.first))
         middle = np.ones(len(self.ids))
-        for i in range(len(self.ids)):
-            if len(seen := each[(self.owners == i) & (each > 0)]):
+        order = np.argsort(self.owners, kind="stable")
+        for i, own in enumerate(np.split(order, np.searchsorted(self.owners[order], np.arange(1, len(self.ids))))):
+            if len(seen := each[own][each[own] > 0]):
                 middle[i] = np.median(seen)
         return (each > 0) & (each <= RARE_FACTOR * middle[self.owners])
 
