@@ -7,8 +7,8 @@ which gives the ids that merging by rank gives.
 
 Texts are cut before single spaces and line ends between non-space characters. No match of the
 pattern crosses such a place, so a piece has the same ids anywhere, and each worker encodes a
-piece once while it keeps being met (two generations of a bounded cache). New pieces go to the
-library together; the byte lengths of the ids part the result again. Of pieces that are a word and
+piece once while it keeps being met (two generations of a bounded cache). New pieces of some texts
+go to the library together; the byte lengths of the ids part the result again. Of pieces that are a word and
 some punctuation the words go, as single matches with their bytes already mapped to characters, to
 the same model without a pre-tokenizer's pattern; the punctuation's ids are put behind.
 
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from lumisift.llm.common import id_text, text_batches
 
-GENERATION = 600_000
+GENERATION, TOGETHER = 600_000, 32
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
-_PUNCTUATION, _LAST_LETTER = ".,;:!?", "\u024f"
+_PUNCTUATION, _LAST_LETTER = ".,;:!?*#$%&()[]{}<>/|=+-@^~\"_", "\u024f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -108,9 +108,8 @@ class Codec:
 
     def _pieces(self, text: str) -> tuple[list, bool]:
         """Keys of the pieces; whether all may be encoded side by side."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or _OTHER_SPACE.search(text):
-            first, *rest = _SAFE_SPACE.split(text)
-            return [(first,), *rest], False
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+            return self._any_pieces(text), False
         first, *lines = text.split("\n")
         out = first.split(" ")
         out[0] = (out[0],)
@@ -120,6 +119,12 @@ class Codec:
             out += own
         return out, True
 
+    @staticmethod
+    def _any_pieces(text: str) -> list:
+        """For texts with other white space; their pieces are encoded one by one."""
+        first, *rest = _SAFE_SPACE.split(text)
+        return [(first,), *rest]
+
     @staticmethod
     def _piece(key) -> str:
         return key[0] if isinstance(key, tuple) else key if key[0] == "\n" else " " + key
@@ -179,25 +184,35 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.dtype."""
+        for at in range(0, len(texts), TOGETHER):
+            yield from self._encode(texts[at : at + TOGETHER])
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > GENERATION:
+            self.older, self.known = self.known, {}
+        rows, joined, alone = [], set(), set()
         for text in texts:
-            if not text:
-                yield b""
-                continue
-            if len(self.known) > GENERATION:
-                self.older, self.known = self.known, {}
-            keys, safe = self._pieces(text)
+            keys, safe = self._pieces(text) if text else ([], True)
             found = list(map(self.known.get, keys))
-            if None in found:
+            gaps = [i for i, v in enumerate(found) if v is None] if None in found else []
+            new = {keys[i] for i in gaps}
+            if safe and new and _OTHER_SPACE.search("".join(k for k in new if isinstance(k, str))):
+                keys = self._any_pieces(text)
+                found = list(map(self.known.get, keys))
                 gaps = [i for i, v in enumerate(found) if v is None]
-                new = {keys[i] for i in gaps}
-                if self.older:
-                    again = new & self.older.keys()
-                    self.known.update((k, self.older[k]) for k in again)
-                    new -= again
-                self._learn([k for k in new if safe and isinstance(k, str)], [k for k in new if not safe or isinstance(k, tuple)])
-                for i in gaps:
-                    found[i] = self.known[keys[i]]
-            yield b"".join(found)
+                new, safe = {keys[i] for i in gaps}, False
+            for k in new:
+                (joined if safe and isinstance(k, str) else alone).add(k)
+            rows.append((keys, found, gaps))
+        if self.older:
+            for k in [k for k in (*joined, *alone) if k in self.older]:
+                self.known[k] = self.older[k]
+                joined.discard(k), alone.discard(k)
+        self._learn(list(joined - alone), list(alone))
+        for keys, found, gaps in rows:
+            for i in gaps:
+                found[i] = self.known[keys[i]]
+        return [b"".join(found) for _, found, _ in rows]
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.dtype)
