@@ -13,6 +13,11 @@ def pairs(origin: DataFrame, crawled: DataFrame, key: str = "article_id") -> Dat
     return origin.join(crawled, key)
 
 
+def unit(rows: DataFrame, column: str) -> DataFrame:
+    """rows with unit vectors, made once for each row and not for each pair; zero vectors become null."""
+    return rows.withColumn(column, vectors.normalised(column))
+
+
 def nearest(both: DataFrame, similarity: Column, variant: str = "strict_positive", key: str = "article_id") -> DataFrame:
     """key, origin_id, filename, score: the most similar crawled image, the first of equals.
 
@@ -39,10 +44,10 @@ def matched(origin: DataFrame, crawled: DataFrame, difference: Column, most: flo
     An original with an embedding but without pixels, or without any match, has a null match; one without an embedding has no row.
     """
     known = origin.where("o_embedding is not null")
-    both = pairs(known, crawled, key)
+    both = pairs(unit(known, "o_embedding"), unit(crawled, "c_embedding"), key)
     same = identical(both.where("o_pixels is not null and c_pixels is not null"), difference, most, key)
     rest = both.where("o_pixels is not null").join(same.select(key, "origin_id"), [key, "origin_id"], "left_anti")
-    close = nearest(rest.where("c_embedding is not null"), vectors.cosine("o_embedding", "c_embedding"), "strict_positive", key)
+    close = nearest(rest.where("c_embedding is not null"), vectors.dot("o_embedding", "c_embedding"), "strict_positive", key)
     found = same.unionByName(close)
     inside = known.join(crawled.select(key).distinct(), key, "left_semi")
     return inside.select(key, "origin_id").join(found, [key, "origin_id"], "left")

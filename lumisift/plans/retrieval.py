@@ -86,7 +86,7 @@ def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     origin = e.where("vec_id % 2 = 0").select(F.col("label").alias("article_id"), F.col("vec_id").alias("origin_id"), F.col("embedding").alias("o_embedding"))
     crawled = e.where("vec_id % 2 = 1").select(F.col("label").alias("article_id"), F.col("vec_id").alias("crawled_id"), F.col("vec_id").alias("crawled_pos"), F.col("embedding").alias("c_embedding"))
-    return matching.pairs(origin, crawled)
+    return matching.pairs(matching.unit(origin, "o_embedding"), matching.unit(crawled, "c_embedding"))
 
 
 def _nearest_sql(where: str) -> str:
@@ -102,12 +102,12 @@ QUALIFY row_number() OVER (PARTITION BY article_id, origin_id ORDER BY score DES
 
 @query(_nearest_sql(""))
 def v4_j10_nearest_any_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(_inside(spark, sf_dir), vectors.cosine("o_embedding", "c_embedding"), "any_sign")
+    return matching.nearest(_inside(spark, sf_dir), vectors.dot("o_embedding", "c_embedding"), "any_sign")
 
 
 @query(_nearest_sql("WHERE score > 0"))
 def v3_j9_nearest_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(_inside(spark, sf_dir), vectors.cosine("o_embedding", "c_embedding"))
+    return matching.nearest(_inside(spark, sf_dir), vectors.dot("o_embedding", "c_embedding"))
 
 
 @query("""
