@@ -107,19 +107,20 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _bucket(threshold: float, tolerance: float):
     def of(_: tuple, rows: pa.Table) -> Iterable[pa.RecordBatch]:
-        """A spanning forest of the pairs that are not pruned: what is already joined isn't compared again."""
+        """The parts that pairs which are not pruned join, each node with the smallest of its part: what is already joined isn't compared again, and buckets of the same nodes give the same rows."""
         keys = rows.column("key").to_pylist()
         values = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(len(keys), VALUES)
         rest, found = np.arange(len(keys)), []
         while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
+            todo, part, rest = [rest[0]], [rest[0]], rest[1:]
             while todo and len(rest):
-                one = todo.pop()
-                near = survivors(values, one, rest, threshold, tolerance)
+                near = survivors(values, todo.pop(), rest, threshold, tolerance)
                 if len(near):
-                    found += [(keys[one], keys[x]) for x in near]
+                    part += near.tolist()
                     todo += near.tolist()
                     rest = np.setdiff1d(rest, near, assume_unique=True)
+            first = min(keys[x] for x in part)
+            found += [(keys[x], first) for x in part if keys[x] != first]
         if found:
             yield _edges(found)
 
@@ -128,7 +129,7 @@ def _bucket(threshold: float, tolerance: float):
 
 def _verified(threshold: float, tolerance: float):
     def of(block: tuple, rows: pa.Table) -> Iterable[pa.RecordBatch]:
-        """Links of each node inside one pair of chunks, and a spanning forest of them."""
+        """Links of each node inside one pair of chunks, and each linked node with the smallest of its part."""
         _, first, second = block
         hashed = [word_hashes(t)[0] for t in rows.column("text").to_pylist()]
         wanted = rows.column("key").to_pylist()
@@ -145,7 +146,7 @@ def _verified(threshold: float, tolerance: float):
         starts = np.concatenate([[0], np.cumsum(sizes)])
         local = np.unique(np.concatenate(sets), return_inverse=True)[1]
         mark = np.zeros(local.max() + 1, dtype=bool)
-        links, root, tree = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), []
+        links, root = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
         for i in range(len(keys)):
             others = np.arange(i + 1, len(keys))
             if first != second:
@@ -164,9 +165,12 @@ def _verified(threshold: float, tolerance: float):
             for j in others:
                 if root[i] != root[j]:
                     root[root == root[j]] = root[i]
-                    tree.append((keys[i], keys[j]))
         linked = np.flatnonzero(links)
         if len(linked):
+            least: dict[int, bytes] = {}
+            for i in linked:
+                least[root[i]] = min(keys[i], least.get(root[i], keys[i]))
+            tree = [(keys[i], least[root[i]]) for i in linked if keys[i] != least[root[i]]]
             a = [keys[i] for i in linked] + [x for x, _ in tree]
             b = [None] * len(linked) + [x for _, x in tree]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links[linked].tolist() + [0] * len(tree), pa.int64())], names=["a", "b", "links"])
