@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: a lossless filter by rare words, then Smith-Waterman alignment.
 
-One scan of the corpus finds every run of four words that a test item has too, and keeps
-the words around it as numbers of the benchmark's vocabulary (0: a word that no item has).
-The same scan counts in how many documents each run occurs. A run seeds an alignment of
-its items only if it is rare for them: found in at most RARE_FACTOR times as many documents
-as the item's middle run that was found at all. So runs of function words seed nothing, and
-an item that was copied everywhere still has seeds. Each seeded window is aligned with the
-whole item (match 2, mismatch -1, gap -1); the score is divided by that of a full copy.
+The local score (match 2, mismatch -1, gap -1) is divided by that of a full copy. An alignment that reaches
+the threshold t with an item of m words matches at least t * m of them, so it leaves at most (1 - t) * m
+unmatched, and spans at most m + 2 * (1 - t) * m words of the text. So of any set of the item's words that is
+greater by k, k are matched within that span, in whatever order and with whatever edits between them. The set
+is the item's rarest words, so few texts have k of them so near; rarity is judged from the first texts of
+a task and only decides how much is aligned, never what is found. What passes is bounded again by all of the
+item's words (2 for a word that the item has, -1 for another), then aligned with the whole item.
 
 The benchmark comes in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded;
-each block is a scan. Documents are never shuffled, only their windows are kept.
+each block is a scan. Documents are never shuffled, and long ones are filtered in pieces.
 
 Null and word-free texts and items match nothing, nor do items under four words (too short to
 be evidence). Repeated rows of a document give one row for each item. Ties: the best score counts.
@@ -17,6 +17,7 @@ be evidence). Repeated rows of a document give one row for each item. Ties: the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,93 +25,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import cut, id_text, text_batches
-from lumisift.llm.words import grams, word_hashes
+from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.words import word_hashes
 
-SEED_WORDS, RARE_FACTOR, THRESHOLD = 4, 4, 0.5
-BLOCK_WORDS = 500_000
+LEAST_WORDS, THRESHOLD = 4, 0.5
+BLOCK_WORDS, PIECE_WORDS, SAMPLE_TEXTS = 500_000, 1 << 16, 64
 MATCH, MISMATCH, GAP = 2, -1, 1
 _BITS = 20
 
 
 class Items:
-    """Some test items: vocabulary, runs, and which items have a run."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = [i for i, _ in items]
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
-        self.words = [(np.searchsorted(self.vocabulary, w) + 1).astype(np.int32) for _, w in items]
-        of = [np.unique(grams(w, SEED_WORDS)) for _, w in items]
-        self.runs, at = np.unique(np.concatenate(of), return_inverse=True)
-        owner = np.repeat(np.arange(len(items)), [len(x) for x in of])
-        order = np.argsort(at, kind="stable")
-        self.owners, self.first = owner[order], np.searchsorted(at[order], np.arange(len(self.runs) + 1))
-        self.longest = max(len(w) for w in self.words)
+    """Some test items, and for each the fewest words that an alignment matches and the most that it spans."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        self.own = [np.unique(w) for w in self.words]
+        self.vocabulary, self.at = np.unique(np.concatenate(self.words), return_inverse=True)
+        size = np.array([len(w) for w in self.words])
+        matched = np.maximum(1, np.ceil(threshold * size - 1e-9)).astype(np.int64)
+        self.least = [threshold * MATCH * len(w) for w in self.words]
+        self.span = size + np.ceil(2 * (size - threshold * size)).astype(np.int64)
+        self.count = np.minimum(matched, 1 + matched // 5)
+        self.size, self.taken = size, size - matched + self.count
+
+    def seeds(self, texts: list[str | None]) -> Seeds:
+        """Each item's rarest words, by how often these texts have them."""
+        often = np.zeros(len(self.vocabulary), dtype=np.int64)
+        for text in texts:
+            words = word_hashes(text)[0]
+            there = np.minimum(np.searchsorted(self.vocabulary, words), len(often) - 1)
+            often += np.bincount(there[self.vocabulary[there] == words], minlength=len(often))
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.lexsort((self.at, often[self.at], owner))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        kept = order[rank < self.taken[owner]]
+        pairs = np.unique(np.stack([self.at[kept], owner[kept]]), axis=1)
+        return Seeds(self, *pairs)
+
+
+class Seeds:
+    """Which items have a word among their rarest."""
+
+    def __init__(self, items: Items, at: np.ndarray, owners: np.ndarray):
+        used, first = np.unique(at, return_index=True)
+        self.items, self.words, self.owners, self.first = items, items.vocabulary[used], owners, np.append(first, len(at))
         self.may = np.zeros(1 << _BITS, dtype=bool)
-        self.may[self.runs >> np.uint64(64 - _BITS)] = True
-
-    def rare(self, documents: dict[int, int]) -> np.ndarray:
-        """Marks pairs of run and owner where the run is rare for the owner."""
-        found = np.array([documents.get(r, 0) for r in range(len(self.runs))])
-        each = np.repeat(found, np.diff(self.first))
-        middle = np.ones(len(self.ids))
-        order = np.argsort(self.owners, kind="stable")
-        for i, own in enumerate(np.split(order, np.searchsorted(self.owners[order], np.arange(1, len(self.ids))))):
-            if len(seen := each[own][each[own] > 0]):
-                middle[i] = np.median(seen)
-        return (each > 0) & (each <= RARE_FACTOR * middle[self.owners])
-
-
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+        self.may[self.words >> np.uint64(64 - _BITS)] = True
+
+    def regions(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item and first and end word of each stretch of a text that may hold an alignment at the threshold."""
+        at = np.flatnonzero(self.may[words >> np.uint64(64 - _BITS)])
+        number = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
+        hit = self.words[number] == words[at]
+        at, number = at[hit], number[hit]
+        each = self.first[number + 1] - self.first[number]
+        owner = self.owners[np.repeat(self.first[number] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        order = np.argsort(owner, kind="stable")
+        owner, at = owner[order], np.repeat(at, each)[order]
+        last = np.arange(len(owner)) + self.items.count[owner] - 1
+        j = np.flatnonzero(last < len(owner))
+        j = j[(owner[last[j]] == owner[j]) & (at[last[j]] - at[j] < self.items.span[owner[j]])]
+        if not len(j):
+            return
+        low, high, owner = np.maximum(0, at[last[j]] + 1 - self.items.span[owner[j]]), at[j] + self.items.span[owner[j]], owner[j]
+        for part in np.split(np.arange(len(j)), np.flatnonzero((owner[1:] != owner[:-1]) | (low[1:] > high[:-1])) + 1):
+            yield int(owner[part[0]]), int(low[part[0]]), int(high[part[-1]])
+
+
+def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
     held, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
         own = word_hashes(row.text)[0]
-        if len(own) >= SEED_WORDS:
+        if len(own) >= LEAST_WORDS:
             held.append((row.item_id, own))
             words += len(own)
         if words >= BLOCK_WORDS:
-            yield Items(held)
+            yield Items(held, threshold)
             held, words = [], 0
     if held:
-        yield Items(held)
-
-
-def windows(items: Items, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First word, numbered words, seed positions in them and runs, for each stretch around runs that items have."""
-    if len(words) < SEED_WORDS:
-        return
-    runs = grams(words, SEED_WORDS)
-    at = np.flatnonzero(items.may[runs >> np.uint64(64 - _BITS)])
-    number = np.minimum(np.searchsorted(items.runs, runs[at]), len(items.runs) - 1)
-    own = items.runs[number] == runs[at]
-    at, number = at[own], number[own]
-    reach = items.longest + items.longest // 2
-    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-        if len(part):
-            low, high = max(0, at[part[0]] - reach), min(len(words), at[part[-1]] + SEED_WORDS + reach)
-            there = np.minimum(np.searchsorted(items.vocabulary, words[low:high]), len(items.vocabulary) - 1)
-            yield int(low), np.where(items.vocabulary[there] == words[low:high], there + 1, 0).astype(np.int32), at[part] - low, number[part]
-
-
-_FOUND = pa.schema([("doc_id", pa.int64()), ("low", pa.int64()), ("words", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("run", pa.list_(pa.int32())), ("documents", pa.list_(pa.int64()))])
-
-
-def _scan(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, documents = items.value, np.zeros(len(items.value.runs), dtype=np.int64)
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = list(windows(known, word_hashes(text)[0]))
-                if found:
-                    documents[np.unique(np.concatenate([f[3] for f in found]))] += 1
-                    out += [{"doc_id": doc, "low": low, "words": w, "at": at.astype(np.int32), "run": r.astype(np.int32), "documents": None} for low, w, at, r in found]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
-        if len(seen := np.flatnonzero(documents)):  # what this task counted
-            yield pa.RecordBatch.from_pylist([{"doc_id": None, "low": -1, "words": None, "at": None, "run": seen.astype(np.int32), "documents": documents[seen]}], schema=_FOUND)
-
-    return run
+        yield Items(held, threshold)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -126,28 +119,36 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
             best, end = top, int(row.argmax())
     return best, end
 
-
-def _aligned(items, rare, threshold: float):
+def bound(own: np.ndarray, text: np.ndarray) -> int:
+    """No local score is higher: the best stretch of text, each word of the item (own: distinct, sorted) counting MATCH."""
+    there = own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text
+    total = np.concatenate([[0], np.cumsum(np.where(there, MATCH, MISMATCH))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
+def found(seeds: Seeds, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+    """Item, share of a full copy's score, first and end word of the alignments at the threshold."""
+    items = seeds.items
+    over = int(items.span.max())
+    for begin in range(0, len(words), PIECE_WORDS):
+        for i, low, high in seeds.regions(words[begin : begin + PIECE_WORDS + over]):
+            low, item = begin + low, items.words[i]
+            near = words[low : begin + high]
+            if bound(items.own[i], near) < items.least[i]:
+                continue
+            score, end = align(item, near)
+            if score >= items.least[i]:
+                length = align(item[::-1], near[:end][::-1])[1]
+                yield items.ids[i], score / (MATCH * len(item)), low + end - length, low + end
+
+
+def _leaks(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seeds = items.value, rare.value
+        seeds = None
         for batch in batches:
-            out = []
-            for doc, low, words, at, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "low", "words", "at", "run")), strict=True):
-                words, places = np.array(words), {}
-                for p, r in zip(at, runs, strict=True):
-                    for k in range(known.first[r], known.first[r + 1]):
-                        if seeds[k]:
-                            places.setdefault(int(known.owners[k]), []).append(p)
-                for i, spots in places.items():
-                    item = known.words[i]
-                    reach = len(item) + len(item) // 2
-                    for part in np.split(spots, np.flatnonzero(np.diff(spots) > 2 * reach) + 1):
-                        begin = max(0, int(part[0]) - reach)
-                        near = words[begin : int(part[-1]) + SEED_WORDS + reach]
-                        score, end = align(item, near)
-                        if score >= threshold * MATCH * len(item):
-                            length = align(item[::-1], near[:end][::-1])[1]
-                            out.append((doc, known.ids[i], score / (MATCH * len(item)), low + begin + end - length, low + begin + end))
+            texts = batch.column("text").to_pylist()
+            seeds = seeds or items.value.seeds(texts[:SAMPLE_TEXTS])
+            out = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for x in found(seeds, word_hashes(text)[0])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -161,12 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     docs = id_text(docs).where("doc_id is not null")
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark):
-        items = spark.sparkContext.broadcast(block)
-        found = cut(docs.mapInArrow(_scan(items), "doc_id long, low long, words array<int>, at array<int>, run array<int>, documents array<long>"))
-        counted = found.where("doc_id is null").select(F.explode(F.arrays_zip("run", "documents")).alias("x")).groupBy("x.run").agg(F.sum("x.documents").alias("n"))
-        rare = spark.sparkContext.broadcast(block.rare({r.run: r.n for r in counted.collect()}))  # at most a row for each run of the block
-        out = out.union(found.where("doc_id is not null").select("doc_id", "low", "words", "at", "run").mapInArrow(_aligned(items, rare, threshold), schema))
+    for block in item_blocks(benchmark, threshold):
+        out = out.union(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(block)), schema))
     best = F.max(F.struct("score", -F.col("first_word"), "end_word"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 

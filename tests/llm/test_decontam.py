@@ -64,3 +64,38 @@ def test_item_in_every_document(spark):
 def test_empty(spark):
     docs, items, _ = corpus(spark)
     assert decontam.leaks(docs.limit(0), items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_many_edited_copies_beside_few_full_ones(spark):
+    item = [f"k{i}" for i in range(24)]
+    edited = [f"e{i}" if i % 6 == 5 else w for i, w in enumerate(item)]
+    docs = [(0, " ".join(["a", *item, "b"]))] + [(d, " ".join([f"a{d}", *edited, f"b{d}"])) for d in range(1, 41)]
+    out = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in out} == set(range(41))
+
+
+def test_filter_loses_no_alignment(monkeypatch):
+    """Against alignment of every pair: edits of all kinds, shared words between items, seeds judged from other texts."""
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 50)
+    rng = np.random.default_rng(3)
+    hashed = rng.integers(1, 1 << 63, 60).astype(np.uint64) * np.uint64(2)
+    items = decontam.Items([(i, hashed[np.minimum(rng.geometric(0.06, int(rng.integers(4, 25))), 60) - 1]) for i in range(12)], 0.5)
+    seeds, hits = items.seeds(["w1 w2", None]), 0
+    for d in range(150):
+        words = hashed[rng.integers(0, 60, int(rng.integers(0, 160)))]
+        copy = list(items.words[d % 12])
+        for _ in range(int(rng.integers(0, len(copy)))):
+            at, kind = int(rng.integers(0, len(copy))), rng.integers(0, 3)
+            copy[at : at + (kind != 0)] = [hashed[rng.integers(0, 60)]] if kind < 2 else []
+            copy = copy or [hashed[0]]
+        words = np.insert(words, int(rng.integers(0, len(words) + 1)), np.array(copy, dtype=np.uint64))
+        got = {}
+        for i, score, _, _ in decontam.found(seeds, words):
+            got[i] = max(score, got.get(i, 0))
+        want = {i: s / (MATCH * len(w)) for i, w in enumerate(items.words) if (s := table_align(w, words)) >= MATCH * len(w) / 2}
+        assert got == want
+        hits += len(want)
+    assert hits > 100
+    spread = np.concatenate([[w, np.uint64(7)] for w in np.unique(hashed)[:20]])
+    one = decontam.Items([(0, spread[::2])], 0.5)
+    assert [x[0] for x in decontam.found(one.seeds([]), spread)] == [0]
