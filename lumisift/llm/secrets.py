@@ -3,7 +3,9 @@
 The text is scanned, then whatever in it is encoded is decoded and scanned again, from a
 worklist that ends when no layer yields a new one. Layers: percent escapes, Unicode escapes
 (backslash u, U or x, and HTML character references), base64 (standard and URL alphabets),
-and gzip, zlib, bzip2 or zstd data inside base64. A layer is the text of one encoded stretch;
+and gzip, zlib, bzip2 or zstd data anywhere inside base64. Base64 may be wrapped over lines and touch
+other text; it is decoded in all four steps. Bytes that are no text part it into pieces, of which those
+under LEAST characters, too short for a finding, are left. A layer is the text of one encoded stretch or piece;
 each of its characters knows which stretch of the document it came from, so findings in any
 layer are spans of the document. A layer that was seen before at the same place isn't taken
 up again (cycles end), and every decoding but decompression shortens its text.
@@ -42,10 +44,19 @@ _ASSIGN_HINT = re.compile(r"(?:passw|secret|token|api)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_LONE = re.compile("[\udc80-\udcff]")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-_MAGIC = (b"\x1f\x8b", b"BZh", b"\x28\xb5\x2f\xfd")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=\r?\n))(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
+_BREAK = re.compile(r"\s+")
+#: No finding and no stretch that could unfold to one is shorter; so no shorter piece of text is taken up.
+LEAST = 16
+_TEXT = re.compile(
+    rb"(?:[\t\n\r -\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}+" % LEAST
+)
+_READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\ufffd]{%d}" % LEAST)
+_ZLIB = b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x28\xb5\x2f\xfd|" + _ZLIB, re.S)
 
 Span = tuple[int, int, int]
 
@@ -61,24 +72,11 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _text(data: bytes) -> str | None:
-    """Decoded bytes as text, if they are text."""
-    try:
-        found = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(found) else found
-
-
-def _inflated(data: bytes) -> Iterator[bytes] | None:
-    """What compressed data holds, in windows; None for other data. Ends where the data is broken."""
-    if data.startswith(_MAGIC[2]):
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """What compressed data holds, in windows. Ends where the data is broken."""
+    if data.startswith(b"\x28\xb5\x2f\xfd"):
         return _unzstd(data)
-    if data.startswith(_MAGIC[1]):
-        return _unbz2(data)
-    if data.startswith(_MAGIC[0]) or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        return _unzlib(data)
-    return None
+    return _unbz2(data) if data.startswith(b"BZh") else _unzlib(data)
 
 
 def _unzstd(data: bytes) -> Iterator[bytes]:
@@ -112,16 +110,12 @@ def _unzlib(data: bytes) -> Iterator[bytes]:
 
 
 def _texts(windows: Iterator[bytes]) -> Iterator[str]:
-    """Windows as text, each with the end of the one before it; ends at bytes that are no text."""
-    decoder, before = codecs.getincrementaldecoder("utf-8")(), ""
+    """Windows as text, each with the end of the one before it; bytes that are no text are replaced."""
+    decoder, before = codecs.getincrementaldecoder("utf-8")("replace"), ""
     for data in windows:
-        try:
-            found = decoder.decode(data)
-        except UnicodeDecodeError:
-            return
-        if _CONTROL.search(found):
-            return
-        yield before + found
+        found = before + decoder.decode(data)
+        if _READABLE.search(found):
+            yield found
         before = found[-OVERLAP:]
 
 
@@ -129,13 +123,10 @@ def _percent(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """The whole layer with its percent escapes replaced: text, and first and end position in the layer of each character."""
     text, start, end, at = [], [], [], 0
     for m in _PERCENT.finditer(layer):
-        try:
-            found = binascii.unhexlify(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        text += [layer[at : m.start()], found]
+        found = binascii.unhexlify(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+        text += [layer[at : m.start()], _LONE.sub("\ufffd", found)]
         start.append(np.arange(at, m.start())), end.append(np.arange(at, m.start()) + 1)
-        sizes = np.array([3 * len(c.encode()) for c in found])
+        sizes = np.array([3 * (1 if _LONE.match(c) else len(c.encode())) for c in found])
         ends = m.start() + np.cumsum(sizes)
         start.append(ends - sizes), end.append(ends)
         at = m.end()
@@ -172,29 +163,27 @@ def _escapes(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
 
 
 def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """A layer for each stretch that is base64 of text, and for each window of compressed text in base64."""
+    """A layer for each piece of text in a base64 stretch, and for each window of compressed text in it. Whatever touches the
+    stretch, lines too, is decoded with it: of the four ways to begin, one is in step with what was encoded."""
     for m in _BASE64.finditer(layer):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        for skip in range(min(4, len(body))) if "/" in body else (0,):  # a path may stand before it
-            own = body[skip:]
-            if len(own) % 4 == 1:
-                own = own[:-1]
-            try:
-                data = base64.b64decode(own + "=" * (-len(own) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            hit = False
-            if (windows := _inflated(data)) is not None:
-                for found in _texts(windows):
-                    hit = True
+        body = _BREAK.sub("", m[0])
+        if len(body) < LEAST:
+            continue
+        place = np.arange(m.start(), m.end())
+        if len(body) < len(place):
+            place = place[[not c.isspace() for c in m[0]]]
+        body = body.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            own = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+            for piece in _TEXT.finditer(data):
+                found = piece[0].decode()
+                sizes = np.array([len(c.encode()) for c in found]) if len(found) < len(piece[0]) else np.ones(len(found), dtype=np.int64)
+                ends = piece.start() + np.cumsum(sizes)
+                yield found, place[skip + (ends - sizes) * 4 // 3], place[skip + -(-ends * 4 // 3) - 1] + 1
+            for magic in _MAGIC.finditer(data):
+                for found in _texts(_inflated(data[magic.start() :])):
                     yield found, np.full(len(found), m.start()), np.full(len(found), m.end())
-            elif found := _text(data):
-                hit = True
-                sizes = np.array([len(c.encode()) for c in found])
-                ends = np.cumsum(sizes)
-                yield found, m.start() + skip + (ends - sizes) * 4 // 3, m.start() + skip + -(-ends * 4 // 3)
-            if hit:
-                break
 
 
 def _decoded(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

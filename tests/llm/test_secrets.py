@@ -84,3 +84,32 @@ def test_table(spark):
     red = S.redacted(df)
     assert red.columns == df.columns and sorted((r.doc_id, r.text, r.n_chars) for r in red.where("doc_id <> 2").collect()) == [(1, "[assign] x", 10), (1, "[assign] x", 10), (3, "", 0)]
     assert S.secrets(df.limit(0)).count() == 0
+
+
+SECRET = "password = abcdefghijklmnop1234"
+
+
+def test_base64_that_touches_other_text():
+    coded = base64.b64encode(SECRET.encode()).decode()
+    for before in ("data:", "/api/v1/", "host.example/files/", "session_", "a-b_c/", "x", "xy", "xyz"):
+        text = before + coded
+        assert ("assign", text[len(before) : len(before) + len(coded.rstrip("="))]) in cover(text, S.find(text)[1]), before
+    packed = base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    for before in ("/api/v1/", "session_", "xy"):
+        assert any(k == 0 for _, k, _ in S.find(before + packed)[1]), before
+
+
+def test_base64_over_lines_and_bytes_that_are_no_text():
+    noise = "".join(f"line {i * i * 7919} of much\n" for i in range(60))
+    for data in (gzip.compress((noise + SECRET).encode()), (noise + SECRET).encode()):
+        for end in ("\n", "\r\n", "\n  "):
+            coded = base64.b64encode(data).decode()
+            text = end.join(coded[i : i + 76] for i in range(0, len(coded), 76))
+            assert any(k == 0 for _, k, _ in S.find(f"x:\n{text}\n")[1])
+    for other in (b"\x00", b"\x1b", b"\xff", b"\xe0\x80"):
+        data = other + SECRET.encode() + other
+        assert any(k == 0 for _, k, _ in S.find(base64.b64encode(data).decode())[1])
+        assert any(k == 0 for _, k, _ in S.find(base64.b64encode(zlib.compress(data)).decode())[1])
+        text = "".join(f"%{c:02x}" for c in data)
+        size = 3 * len(other)
+        assert ("assign", text[size:-size]) in cover(text, S.find(text)[1])
