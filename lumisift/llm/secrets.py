@@ -11,8 +11,9 @@ layer are spans of the document. A layer that was seen before at the same place
 up again (cycles end), and every decoding but decompression shortens its text.
 
 Spans are (kind, start, end) in code points, end exclusive, of whole matches. A compressed
-layer is read to its end in windows of WINDOW_BYTES that overlap by OVERLAP characters, so memory
-stays bounded whatever it unfolds to; `windowed` counts layers of more than one window. Null and empty texts have no findings. Repeated rows are scanned
+layer is read to its end, through all members and frames, in windows of WINDOW_BYTES; what may be unfinished at
+a window's end goes to the next one whole. So memory is bounded by the longest stretch without a break;
+`windowed` counts layers of more than one window. Null and empty texts have no findings. Repeated rows are scanned
 alike. Each document is one row's work, whatever its length.
 """
 
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from lumisift.llm.common import id_text, text_batches
 
 KINDS = ("assign", "access", "hex")
-WINDOW_BYTES, OVERLAP = 16 << 20, 4096
+WINDOW_BYTES, FEED_BYTES = 16 << 20, 256
+#: Shorter layers aren't counted as further windows.
+OVERLAP = 4096
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ASSIGN_HINT = re.compile(r"(?:passw|secret|token|api)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -47,6 +50,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _LONE = re.compile("[\udc80-\udcff]")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=\r?\n))(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
+_CODE = re.compile(r"[A-Za-z0-9+/_=%\\&#;-]")
 _BREAK = re.compile(r"\s+")
 #: No finding and no stretch that could unfold to one is shorter; so no shorter piece of text is taken up.
 LEAST = 16
@@ -72,51 +76,105 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """What compressed data holds, in windows. Ends where the data is broken."""
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
-        return _unzstd(data)
-    return _unbz2(data) if data.startswith(b"BZh") else _unzlib(data)
+class _Unzlib:
+    """zlib or gzip with the interface of the others."""
 
+    def __init__(self):
+        self.stream, self.rest = zlib.decompressobj(47), b""
 
-def _unzstd(data: bytes) -> Iterator[bytes]:
-    try:
-        with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-            while out := stream.read(WINDOW_BYTES):
-                yield out
-    except zstandard.ZstdError:
-        return
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.stream.decompress(self.rest + data, most)
+        self.rest = self.stream.unconsumed_tail
+        return out
 
+    eof = property(lambda self: self.stream.eof)
+    needs_input = property(lambda self: not self.rest)
+    unused_data = property(lambda self: self.stream.unused_data)
 
-def _unbz2(data: bytes) -> Iterator[bytes]:
-    stream = bz2.BZ2Decompressor()
-    try:
-        out = stream.decompress(data, WINDOW_BYTES)
-        while out:
-            yield out
-            out = b"" if stream.eof or stream.needs_input else stream.decompress(b"", WINDOW_BYTES)
-    except (OSError, EOFError):
-        return
 
+class _Unzstd:
+    """zstd likewise; FEED_BYTES of it hold few blocks, so what they unfold to is bounded."""
 
-def _unzlib(data: bytes) -> Iterator[bytes]:
-    stream = zlib.decompressobj(47)
-    try:
-        while out := stream.decompress(data, WINDOW_BYTES):
-            yield out
-            data = stream.unconsumed_tail
-    except zlib.error:
-        return
+    def __init__(self):
+        self.stream, self.needs_input = zstandard.ZstdDecompressor().decompressobj(), True
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        return self.stream.decompress(data)
+
+    eof = property(lambda self: self.stream.eof)
+    unused_data = property(lambda self: self.stream.unused_data)
+
+
+def _inflated(data: bytes, at: int, ended: list[int]) -> Iterator[bytes]:
+    """What compressed data holds from there on, through all members and frames that follow on one another; it ends where the
+    data is broken. The place behind the last whole member is put into ended."""
+    while _MAGIC.match(data, at):
+        stream = _Unzstd() if data.startswith(b"\x28\xb5\x2f\xfd", at) else bz2.BZ2Decompressor() if data.startswith(b"BZh", at) else _Unzlib()
+        fed = at
+        try:
+            while not stream.eof and (fed < len(data) or not stream.needs_input):
+                more = data[fed : fed + FEED_BYTES] if stream.needs_input else b""
+                fed += len(more)
+                if out := stream.decompress(more, WINDOW_BYTES):
+                    yield out
+        except (zlib.error, OSError, EOFError, zstandard.ZstdError):
+            return
+        at = fed - len(stream.unused_data)
+        ended[0] = at
+        while at < len(data) and not data[at]:  # zeros may pad members
+            at += 1
 
 
 def _texts(windows: Iterator[bytes]) -> Iterator[str]:
-    """Windows as text, each with the end of the one before it; bytes that are no text are replaced."""
-    decoder, before = codecs.getincrementaldecoder("utf-8")("replace"), ""
-    for data in windows:
-        found = before + decoder.decode(data)
-        if _READABLE.search(found):
-            yield found
-        before = found[-OVERLAP:]
+    """Decoded bytes in windows of text that end before whatever may be unfinished; bytes that are no text are replaced. A window
+    is longer than WINDOW_BYTES where one stretch is."""
+    decoder, held, size, least = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, WINDOW_BYTES
+    for data in (own[i : i + WINDOW_BYTES] for own in windows for i in range(0, len(own), WINDOW_BYTES)):
+        held.append(decoder.decode(data))
+        size += len(held[-1])
+        if size < least:
+            continue
+        found = "".join(held)
+        cut = _unfinished(found)
+        if _READABLE.search(found, 0, cut):
+            yield found[:cut]
+        held, size = [found[cut:]], len(found) - cut
+        least = max(WINDOW_BYTES, 2 * size)
+    found = "".join([*held, decoder.decode(b"", True)])
+    if _READABLE.search(found):
+        yield found
+
+
+def _behind_space(text: str, at: int) -> int:
+    """Behind the last space, tab or line feed before a place; steps back bit by bit, so that near ones are found at once."""
+    step = 256
+    while at:
+        low = max(0, at - step)
+        if (found := max(text.rfind(c, low, at) for c in " \t\n")) >= 0:
+            return found + 1
+        at, step = low, 2 * step
+    return 0
+
+
+def _unfinished(text: str) -> int:
+    """Where the last four stretches without a space begin: an assignment has at most three, and may end in spaces. Lines whose
+    ends could be base64 belong to one stretch."""
+    at = len(text)
+    for _ in range(4):
+        while at and text[at - 1] in " \t\r\n":
+            at -= 1
+        while True:
+            at = _behind_space(text, at)
+            end = at
+            while end and text[end - 1] in " \t":
+                end -= 1
+            if not (end and text[end - 1] == "\n"):
+                break
+            end -= 1 + text.startswith("\r\n", end - 2)
+            if not (end > 0 and at < len(text) and _CODE.match(text, at) and _CODE.match(text, end - 1)):
+                break
+            at = end
+    return at
 
 
 def _percent(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -181,9 +239,12 @@ def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
                 sizes = np.array([len(c.encode()) for c in found]) if len(found) < len(piece[0]) else np.ones(len(found), dtype=np.int64)
                 ends = piece.start() + np.cumsum(sizes)
                 yield found, place[skip + (ends - sizes) * 4 // 3], place[skip + -(-ends * 4 // 3) - 1] + 1
-            for magic in _MAGIC.finditer(data):
-                for found in _texts(_inflated(data[magic.start() :])):
+            at = 0
+            while magic := _MAGIC.search(data, at):
+                ended = [magic.start() + 1]
+                for found in _texts(_inflated(data, magic.start(), ended)):
                     yield found, np.full(len(found), m.start()), np.full(len(found), m.end())
+                at = ended[0]
 
 
 def _decoded(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

@@ -113,3 +113,22 @@ def test_base64_over_lines_and_bytes_that_are_no_text():
         text = "".join(f"%{c:02x}" for c in data)
         size = 3 * len(other)
         assert ("assign", text[size:-size]) in cover(text, S.find(text)[1])
+
+
+def test_all_members_and_frames():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress):
+        parts = [pack(b"first, and more of it "), pack(b"passw"), pack(SECRET[5:].encode())]
+        for data in (b"".join(parts), parts[0] + bytes(4) + pack(SECRET.encode()) + b"rest"):
+            assert any(k == 0 for _, k, _ in S.find(base64.b64encode(data).decode())[1]), pack
+
+
+def test_stretches_over_the_ends_of_windows(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW_BYTES", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 100)
+    nested = base64.b64encode(("".join(f"{i * i * 7919} " for i in range(700)) + SECRET).encode()).decode()
+    packed = base64.b64encode(gzip.compress(("".join(f"{i * i * 7919} " for i in range(900)) + SECRET).encode())).decode()
+    wrapped = "\r\n ".join(nested[i : i + 76] for i in range(0, len(nested), 76))
+    for inner in (nested, packed, wrapped, "token : " + "Zz" * 700, "token" + " " * 990 + "= " + "Zz" * 20):
+        for shift in range(0, 1000, 90):
+            hidden = "é " * shift + "; " + inner + " end" + " of it" * 400
+            assert any(k == 0 for _, k, _ in S.find(base64.b64encode(gzip.compress(hidden.encode())).decode())[1]), (inner[:20], shift)
