@@ -3,7 +3,7 @@
 Sentences of a text are normalised (lower case, runs of letters and digits, one space between)
 and mapped to identifiers of known licence sentences. A sentence may be wrapped over lines, and
 may stand on a line after text that lacks a full stop: runs of lines that begin where a known
-sentence could begin are looked up, longest first. Rules are ordered sequences of identifiers;
+sentence could begin are looked up, longest first, across any marks for as long as their words begin a known one. Rules are ordered sequences of identifiers;
 they are matched against the identifiers in their order in the text, from left to right, the first
 rule that fits winning, with at most GAP unknown sentences between two known ones.
 
@@ -91,7 +91,6 @@ RULES = [
 GAP = 3
 _WORD = re.compile(r"[^\W_]+")
 _FRAGMENT = re.compile(r"[^\n]+?(?:[.!?:](?=\s|$)|(?=\n)|$)")
-_ENDS = re.compile(r"[.!?:]\s*$")
 
 
 def normalised(sentence: str) -> str:
@@ -103,9 +102,17 @@ class Rules:
         self.known = {normalised(s): name for name, s in sentences.items()}
         self.begins = {tuple(s.split()[:2]) for s in self.known}
         self.longest = max(len(s.split()) for s in self.known)
+        self.prefixes = {" ".join(w[:n]) for w in (s.split() for s in self.known) for n in range(1, len(w) + 1)}
         self.rules, self.gap = rules, gap
         firsts = {b[0] for b in self.begins}
-        self.hint = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, firsts)))})\b", re.I)
+        self.hint = re.compile(rf"(?<![^\W_])(?:{'|'.join(sorted(map(re.escape, firsts)))})(?![^\W_])", re.I)
+
+    def could_begin(self, text: str, start: int) -> bool:
+        """Whether the next two words, wherever they stand, begin a known sentence; of a sentence of one word, that word."""
+        first = _WORD.search(text, start)
+        second = first and _WORD.search(text, first.end())
+        words = tuple(m[0].lower() for m in (first, second) if m)
+        return words in self.begins or words[:1] in self.begins
 
     def sentences(self, text: str) -> list[tuple[int, str, int, int]]:
         """Known sentences: number among all sentences, identifier, first and end code point."""
@@ -114,13 +121,14 @@ class Rules:
         while i < len(parts):
             start, end = parts[i]
             found = None
-            if self.hint.search(text, start, min(end, start + 40)) and tuple(_WORD.findall(text[start : start + 80].lower())[:2]) in self.begins:
+            if self.hint.search(text, start, end) and self.could_begin(text, start):
                 words, j = [], i
                 while j < len(parts) and len(words) <= self.longest:
                     words += _WORD.findall(text[parts[j][0] : parts[j][1]].lower())
-                    if name := self.known.get(" ".join(words)):
+                    so_far = " ".join(words)
+                    if name := self.known.get(so_far):
                         found = (j, name, parts[j][1])
-                    if _ENDS.search(text, parts[j][0], parts[j][1]) and not (j + 1 < len(parts) and len(words) < self.longest and text[parts[j][1] - 1] == "."):
+                    if so_far and so_far not in self.prefixes:
                         break
                     j += 1
             if found:

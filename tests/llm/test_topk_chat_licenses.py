@@ -118,3 +118,14 @@ def test_rules_follow_order():
     assert name("One thing. Else. Two things. Three.") == ["AB"]
     assert name("One thing. Else. More. Two things. Three things.") == ["C"]
     assert name("Two things. One thing.") == []
+
+
+def test_every_sentence_and_rule_is_found():
+    r = licenses.Rules()
+    for before in ("", "Some words:\n", " " * 100, "/" + "*" * 90 + " ", "__", "# "):
+        for name, sentence in licenses.SENTENCES.items():
+            for text in (sentence, sentence.replace(" ", "\n# ", 7), sentence.replace(", ", ",\n * ")):
+                assert [f[1] for f in r.sentences(before + text)] == [name], (before, name)
+        for licence, sequence in licenses.RULES:
+            text = before + "\n".join(licenses.SENTENCES[k] for k in sequence)
+            assert r.hint.search(text) and [x[0] for x in r.licences(r.sentences(text))] == [licence], sequence
