@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 
 GENERATION, TOGETHER = 600_000, 32
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
@@ -242,11 +242,10 @@ _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """A row for each document: number of ids, digests of ids and of the decoded bytes, tokens that begin inside a character, whether decoding gave the text back."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, split, same = [], [], [], [], []
             texts = batch.column("text").to_pylist()
             for text, data in zip(texts, c.encode(texts), strict=True):
@@ -265,11 +264,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, and the byte and character offset of each token's start."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in c.encode(batch.column("text").to_pylist()):
                 ids = c.ids(data)
@@ -285,7 +283,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             text = [c.decode(np.array(x or [], dtype=np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 

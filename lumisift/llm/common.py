@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: input columns, shared folder, grouped streams."""
+"""Helpers shared by the operators: input columns, shared folder, grouped streams, joins of hot keys."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; a batch of long texts must fit in a worker.
-TEXT_BATCH_ROWS = 512
+#: Texts that are Python objects at one time; Spark bounds the bytes of an Arrow batch.
+SLICE_ROWS = 512
+#: A key with this share of the rows is joined by broadcast: no more than so many keys can have it.
+HOT_SHARE = 1000
+#: Bits of a filter of hashes, and of the words it comes in: what is broadcast has at most FILTER_BITS / WORD_BITS rows.
+FILTER_BITS, WORD_BITS = 1 << 24, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,29 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text only: other columns, whatever their names, never reach an operator."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id and text only: other columns, whatever their names, never reach an operator. A doc_id that is no whole number is null."""
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers that get whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows, without copies: bounds the Python objects a worker makes of texts at one time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where that is unset and the session is local, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lumisift-"))
         found = _own[0]
     return found.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,16 +62,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under the shared one; removed when the driver ends."""
     path = f"{shared_dir(spark)}/lumisift/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, and lost executors lose nothing."""
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where: for tables that are removed before the driver ends."""
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends, and lost executors lose nothing."""
+    return cut_at(df)[0]
 
 
 def by_group(df: DataFrame, keys: list[str], f: Callable[[tuple, pa.Table], Iterable[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
@@ -91,3 +104,34 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[tuple, pa.Table], Iter
             yield from f(at, pa.Table.from_batches(held))
 
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of facts, which has each key once and in weight how many of the total rows hold it.
+
+    Keys with a thousandth of the rows or more, of which there are at most a thousand, are sent to the rows; the rows
+    of all others are shuffled by key, so no task holds a hot key. Rows with a null key match nothing: inner drops them, left keeps them.
+    """
+    hot = F.broadcast(facts.where(F.col(weight) * HOT_SHARE >= total))  # at most HOT_SHARE rows
+    cold = facts.where(F.col(weight) * HOT_SHARE < total)
+    known = rows.where(F.col(key).isNotNull())
+    out = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    if how == "inner":
+        return out
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def bit_filter(hashes: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a filter of FILTER_BITS bits over a column of 64-bit hashes, whatever their number; few enough rows to be sent to every task."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    own = hashes.select(F.floor(at / WORD_BITS).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), 0).alias("one"), (at % WORD_BITS).cast("int").alias("bit"))
+    return own.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+
+
+def with_hit(rows: DataFrame, hash_: Column, bits: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean: false if the filter can't hold the row's hash. Rows don't move."""
+    at = F.pmod(hash_, F.lit(FILTER_BITS))
+    sent = F.broadcast(bits.withColumnsRenamed({"word": f"{name} word", "bits": f"{name} bits"}))  # at most FILTER_BITS / WORD_BITS rows of two numbers
+    joined = rows.join(sent, F.floor(at / WORD_BITS).cast("int") == F.col(f"{name} word"), "left")
+    held = F.getbit(F.coalesce(F.col(f"{name} bits"), F.lit(0).cast("long")), (at % WORD_BITS).cast("int")) == 1
+    return joined.withColumn(name, held).drop(f"{name} word", f"{name} bits")

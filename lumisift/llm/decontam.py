@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 from lumisift.llm.words import word_hashes
 
 LEAST_WORDS, THRESHOLD = 4, 0.5
@@ -145,7 +145,7 @@ def found(seeds: Seeds, words: np.ndarray) -> Iterator[tuple[int, float, int, in
 def _leaks(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             seeds = seeds or items.value.seeds(texts[:SAMPLE_TEXTS])
             out = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for x in found(seeds, word_hashes(text)[0])]
@@ -158,7 +158,6 @@ def _leaks(items):
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every (doc_id, item_id) whose best alignment has at least the threshold of a full copy's score, with the score and the words it spans."""
     spark = docs.sparkSession
-    text_batches(spark)
     docs = id_text(docs).where("doc_id is not null")
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from lumisift.llm import words
 from lumisift.llm.bpe import codec
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 from lumisift.llm.words import mix
 
 END_ID = 0
@@ -121,7 +121,7 @@ def _encode(path: str):
         c = codec(path)
         end = np.array([END_ID], dtype=c.dtype).tobytes()
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             chunks, recipes = {}, []
             for doc, data in zip(batch.column("doc_id").to_pylist(), c.encode(batch.column("text").to_pylist()), strict=True):
                 data += end
@@ -154,7 +154,6 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     spark = docs.sparkSession
-    text_batches(spark)
     staged = id_text(docs).mapInArrow(_encode(tokenizer), _STAGED_SQL)
     # chunks meet by address; recipes, whose roots identical documents share, are spread by doc_id
     place = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import by_group, cut, id_text, text_batches
+from lumisift.llm.common import by_group, cut, id_text
 from lumisift.llm.graph import components
 from lumisift.llm.words import grams, mix, word_hashes
 
@@ -187,7 +187,6 @@ def _chunked(members: DataFrame, group: str, size: str, chunk: int) -> DataFrame
 
 def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, class_id (smallest doc_id of all texts that links join), n_links (rows that it is linked to)."""
-    text_batches(docs.sparkSession)
     docs = id_text(docs)
     signed = cut(docs.mapInArrow(_signed, "doc_id long, key binary, sig binary, bands array<long>"))
     nodes = cut(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))

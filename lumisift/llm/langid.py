@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import text_batches
+from lumisift.llm.common import slices
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 13, 16, (1, 2, 3, 4)
 PER_LANGUAGE, LANGUAGES = 700, 40
@@ -109,7 +109,6 @@ def train(x: np.ndarray, y: list[str], seed: int = 7) -> Model:
 
 def model_of(docs: DataFrame, learn: Column) -> Model:
     """Learns from docs(doc_id, text, lang) where learn holds."""
-    text_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn).where("lang is not null and text is not null")
     have = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not have:
@@ -118,7 +117,7 @@ def model_of(docs: DataFrame, learn: Column) -> Model:
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [counts(t) for t in batch.column("text").to_pylist()]
             hit = [np.flatnonzero(v).astype(np.int32) for v in x]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([v[h].tobytes() for v, h in zip(x, hit, strict=True)], pa.binary())], names=["doc_id", "lang", "at", "share"])
@@ -133,11 +132,10 @@ def model_of(docs: DataFrame, learn: Column) -> Model:
 
 def predicted(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted."""
-    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times at most LANGUAGES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 
 #: Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
@@ -156,12 +156,11 @@ class Rules:
 
 def licences(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """A row for each document: doc_id, licences (distinct, sorted, comma-joined), spans (licence:start:end), sentences (identifiers in order)."""
-    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(rules or Rules())  # a few kilobytes of rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             names, spans, ids = [], [], []
             for text in batch.column("text").to_pylist():
                 found = own.sentences(text) if text and own.hint.search(text) else []

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 
 KINDS = ("assign", "access", "hex")
 WINDOW_BYTES, FEED_BYTES = 16 << 20, 256
@@ -291,7 +291,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols: list[list] = [[] for _ in range(7)]
         for text in batch.column("text").to_pylist():
             base, spans, layers, windowed = find(text)
@@ -307,7 +307,6 @@ _NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "la
 
 def secrets(docs: DataFrame) -> DataFrame:
     """A row for each document: counts and digest of the spans in the text itself, all spans, layers decoded."""
-    text_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(_found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, windowed long")
 
 

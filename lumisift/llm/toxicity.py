@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, text_batches
+from lumisift.llm.common import id_text, slices
 
 #: The words of the weak labels.
 WEAK = {
@@ -170,7 +170,6 @@ def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> pd.Data
 
 
 def chain_of(docs: DataFrame, labels: DataFrame) -> Chain:
-    text_batches(docs.sparkSession)
     rows = sample_of(docs, labels)
     once: dict[str, str] = {}  # one object for each word keeps the driver small
     texts, toxic, ids = [[once.setdefault(w, w) for w in ws.split("\n")] for ws in rows.pop("words")], rows["toxic"].to_numpy(dtype=float), rows["doc_id"].to_numpy(dtype=np.int64)
@@ -185,7 +184,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             p = np.array([m.score(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(m.categories))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((p[:, -1] >= m.threshold).astype(np.int32)), *(pa.array(p[:, i].round(6)) for i in range(p.shape[1]))], names=["doc_id", "toxic", *(f"p_{c}" for c in m.categories)])
 

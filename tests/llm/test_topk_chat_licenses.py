@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -16,27 +17,47 @@ def vectors(spark, n=400, dim=8):
     rows = [(i, (rng.normal(size=dim) / 3).astype(float).tolist(), "x") for i in range(n)]
     rows[20] = (20, rows[10][1], "x")
     rows[30] = (30, [0.0] * dim, "x")
+    rows[39] = (39, [1e6, -1e6, *rows[39][1][2:]], "x")
+    rows += [rows[3], rows[10], rows[34], (50, rows[31][1], "x")]  # repeated rows, and a query's id with another vector
     odd = [(1000, None, "x"), (1001, [0.1] * 7 + [None], "x"), (1002, [float("nan")] * dim, "x"), (1003, [0.5, 0.5], "x"), (1004, [], "x")]
-    return rows, spark.createDataFrame([*rows, *odd, rows[3]], VECTORS)
+    return rows, spark.createDataFrame([*rows, *odd], VECTORS)
 
 
 def brute(rows, asks, k=5):
-    whole = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int) for i, v, _ in rows}
-    out = set()
-    for q in whole:
-        if asks(q):
-            best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    whole = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int)) for i, v, _ in rows]
+    out = []
+    for q in sorted({i for i, _ in whole if asks(i)}):
+        vectors = {tuple(v) for i, v in whole if i == q}
+        best = sorted((-int(np.array(v) @ c), i) for v in vectors for i, c in whole if i != q)[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return out
 
 
-@pytest.mark.parametrize(("block", "group"), [(4096, 2048), (64, 3)])
+@pytest.mark.parametrize(("block", "group"), [(8192, 1024), (64, 3)])
 def test_exact_top_k(spark, monkeypatch, block, group):
     monkeypatch.setattr(topk, "BLOCK_ROWS", block)
     monkeypatch.setattr(topk, "GROUP_ROWS", group)
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", 100)
     rows, df = vectors(spark)
     out = topk.top_k(df, F.col("vec_id") % 10 == 0, 5)
-    assert {tuple(r) for r in out.collect()} == brute(rows, lambda q: q % 10 == 0)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(brute(rows, lambda q: q % 10 == 0))
+
+
+def test_large_components_and_scores(spark):
+    df = spark.createDataFrame([(0, [1e6, 1.0]), (50, [1.0, 1.0]), (3, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()] == [(0, 256 * 256000256), (3, 262144)]
+    big = [(0, [2.0**30, 1.0]), (50, [2.0**14, 1.0]), (1, [2.0**30, 1.5])]  # sums that no double holds
+    got = topk.top_k(spark.createDataFrame(big, df.schema), F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**60 + 256 * 384), (0, 2**60 + 256 * 256)]
+
+
+def test_score_beyond_a_long_is_an_error():
+    lists = topk.Lists(np.array([1, 2]), np.array([[2.0**50, 1.0], [1.0, 1.0]]))
+    with pytest.raises(OverflowError):
+        lists.best(np.array([2.0**50, 1.0]), 5, -1)
+    near = topk.Lists(np.arange(50), np.array([[2.0**40 + i, 3.0] for i in range(50)]))
+    ids, scores, _ = near.best(np.array([2.0**20, 1.0]), 3, 49)  # beyond 2^53, within a long
+    assert ids.tolist() == [48, 47, 46] and scores[0] == 2**20 * (2**40 + 48) + 3
 
 
 def test_threshold_stops_early_and_ties():
@@ -46,9 +67,39 @@ def test_threshold_stops_early_and_ties():
     lists = topk.Lists(np.arange(3000), x)
     ids, scores, seen = lists.best(np.array([100, 1]), 5, -1)
     order = np.lexsort((np.arange(3000), -(x @ [100, 1])))[:5]
-    assert ids.tolist() == order.tolist() and seen < 1500 and scores.tolist() == (x @ [100, 1])[order].tolist()
+    assert ids.tolist() == order.tolist() and seen < 300 and scores.tolist() == (x @ [100, 1])[order].tolist()
     same = topk.Lists(np.array([9, 4, 7, 1]), np.ones((4, 3), dtype=np.int64))
     assert same.best(np.array([1, 1, 1]), 2, 1)[0].tolist() == [4, 7]
+    assert same.best(np.array([0, 0, 0]), 2, 1)[0].tolist() == [4, 7]
+    assert same.best(np.array([1, 1, 1]), 2, 1, least=3)[0].tolist() == [4, 7] and not len(same.best(np.array([1, 1, 1]), 2, 1, least=4)[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_few_vectors_are_scored():
+    """On 64 dense dimensions the bounds still leave most vectors unscored."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = np.array(t["vec_id"]), np.stack([topk.whole_numbers(v) for v in t["embedding"].to_pylist()])
+    lists = topk.Lists(ids, x)
+    scored = [lists.best(x[i], 5, ids[i])[2] for i in np.flatnonzero(ids % 50 == 0)]
+    assert max(scored) < len(ids) / 2 and np.mean(scored) < len(ids) / 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 4), st.integers(1, 6), st.integers(0, 10**6))
+def test_best_is_brute_force(n, dim, k, seed):
+    rng = np.random.default_rng(seed)
+    x, q = rng.integers(-3, 4, (n, dim)), rng.integers(-2, 3, dim)
+    ids = rng.permutation(2 * n)[:n]
+    own = int(ids[0])
+    want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, x, strict=True) if i != own)[:k]
+    got = topk.Lists(ids, x).best(q, k, own)
+    assert list(zip((-got[1]).tolist(), got[0].tolist(), strict=True)) == want
+    if want:
+        least = -want[len(want) // 2][0]
+        got = topk.Lists(ids, x).best(q, k, own, least)
+        assert list(zip((-got[1]).tolist(), got[0].tolist(), strict=True)) == [w for w in want if -w[0] >= least]
 
 
 def test_top_k_of_nothing(spark):
