@@ -70,6 +70,7 @@ _TASKS = {
     "detailed_image_description": "Describe everything the picture shows, in detail.",
     "short_image_caption": "Say in one short sentence what the picture shows.",
 }
+#: Fixed values from here on: names, roles, separators, marks and stop strings of the templates.
 _PLAIN = "A user talks with an assistant. The assistant answers helpfully and precisely."
 for _name, _system in _TASKS.items():
     register(Template(_name, _system))
@@ -139,7 +140,7 @@ def last_updated(messages: Column, text: Column) -> Column:
 
 
 def chat_view(messages: Column, offset: int = 0, name: str = "Assistant") -> Column:
-    """Pairs of what was said and what was answered, for display: answers lose text before the last role name, and end marks."""
+    """Pairs of what was said and what was answered, for display: answers lose text before the last role name, and end marks. The role name and both marks are fixed values."""
     own = F.slice(messages, offset + 1, 2_000_000_000)
     said = F.transform(F.filter(own, lambda m, i: i % 2 == 0), lambda m: F.regexp_replace(F.coalesce(m["text"], F.lit("")), "<image>", ""))
     answer = F.transform(F.filter(own, lambda m, i: i % 2 == 1), lambda m: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.regexp_replace(m["text"], r"(?s)^.*GPT:", ""), r"<\|endofchunk\|>", "")))

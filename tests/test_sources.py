@@ -67,14 +67,14 @@ def test_embeddings(spark, tmp_path):
 def test_fetching(spark):
     waits, calls = [], []
 
-    def get(url, agent):
+    def get(url):
         calls.append(url)
         return {"ok": (200, b"x"), "gone": (404, b"")}.get(url, (429, b""))
 
     assert http.fetched("ok", get, waits.append) == b"x" and http.fetched("gone", get, waits.append) is None and not waits
-    assert http.fetched("busy", get, waits.append) is None and waits == [1, 3, 5] and calls.count("busy") == 3
+    assert http.fetched("busy", get, waits.append) is None and waits == [1, 3] and calls.count("busy") == 3
     urls = spark.createDataFrame([("k", "//h.cnn.com/a?b"), ("n", None)], "key string, url string")
-    out = {r.key: (r.url, r.body) for r in http.pages(urls, lambda u, a: (200, u.encode()), binary=True).collect()}
+    out = {r.key: (r.url, r.body) for r in http.pages(urls, lambda u: (200, u.encode()), binary=True).collect()}
     assert out["k"] == ("https://h.cnn.com/a", b"https://h.cnn.com/a") and out["n"] == (None, None)
 
 
