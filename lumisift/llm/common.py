@@ -106,25 +106,34 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[tuple, pa.Table], Iter
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """rows with the columns of facts, which has each key once and in weight how many of the total rows hold it.
+def hot_join(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of facts, which has each key once.
 
-    Keys with a thousandth of the rows or more, of which there are at most a thousand, are sent to the rows; the rows
-    of all others are shuffled by key, so no task holds a hot key. Rows with a null key match nothing: inner drops them, left keeps them.
+    hot: those of the facts whose key may be in a thousandth of the rows or more; there are at most HOT_SHARE of them,
+    so they are sent to the rows. All other rows are shuffled by key, and no task holds a hot key; rows that are
+    settled already are spread evenly. Rows with a null key match nothing: inner drops them, left keeps them.
     """
-    hot = F.broadcast(facts.where(F.col(weight) * HOT_SHARE >= total))  # at most HOT_SHARE rows
-    cold = facts.where(F.col(weight) * HOT_SHARE < total)
-    known = rows.where(F.col(key).isNotNull())
-    out = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    values = F.struct(*(c for c in facts.columns if c != key))
+    sent = F.broadcast(hot.select(F.col(key).alias("hot key"), values.alias("hot facts")))  # at most HOT_SHARE rows
+    met = rows.join(sent, F.col(key) == F.col("hot key"), "left").drop("hot key")
+    settled = F.col("hot facts").isNotNull() | F.col(key).isNull()
+    met = met.withColumns({"cold key": F.when(~settled, F.col(key)), "spread": F.when(settled, F.xxhash64(*rows.columns)).otherwise(0)})
+    out = met.join(facts.select(F.col(key).alias("cold key"), F.lit(0).cast("long").alias("spread"), values.alias("cold facts")), ["cold key", "spread"], "left")
+    found = F.coalesce("hot facts", "cold facts")
     if how == "inner":
-        return out
-    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+        out = out.where(found.isNotNull())
+    return out.select(*rows.columns, *(found[c].alias(c) for c in facts.columns if c != key))
+
+
+def hot_of(facts: DataFrame, weight: str, total: int) -> DataFrame:
+    """The facts whose key is in at least a thousandth of the total rows; weight: in how many it is."""
+    return facts.where(F.col(weight) * HOT_SHARE >= total)
 
 
 def bit_filter(hashes: DataFrame, column: str) -> DataFrame:
     """(word, bits): a filter of FILTER_BITS bits over a column of 64-bit hashes, whatever their number; few enough rows to be sent to every task."""
     at = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    own = hashes.select(F.floor(at / WORD_BITS).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), 0).alias("one"), (at % WORD_BITS).cast("int").alias("bit"))
+    own = hashes.select(F.floor(at / WORD_BITS).cast("int").alias("word"), F.lit(1).cast("long").alias("one"), (at % WORD_BITS).cast("int").alias("bit"))
     return own.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
 
 

@@ -9,12 +9,16 @@ on the whole shingle sets.
 
 No task holds an unbounded group: buckets and components are cut into chunks of bounded
 size, and pairs of chunks are the unit of work. Pairs are counted where they are found and
-never become rows. With the defaults a pair at similarity 0.8 is missed by all bands with
-probability 4e-7, and pruned with probability about 4e-6.
+never become rows. Texts never leave their place but for those of the nodes that have a candidate, once, as
+sets of shingle hashes; each set then becomes its difference from that of one node of its component, and only those
+differences are copied for the pairs of chunks: the sizes of intersections follow from them exactly. Keys that a
+thousandth of the rows or more share are joined by broadcast. With the defaults a pair at similarity 0.8 is missed by
+all bands with probability 4e-7, and pruned with probability about 4e-6.
 
 Null, empty and word-free texts link to nothing: they are classes of their own with 0 links.
 Texts under five words have one shingle, all their words. Repeated rows are copies of each
-other. Ties need no rule: the class id is the smallest doc_id of the class.
+other. Ties need no rule: the class id is the smallest doc_id of the class. A row with a null doc_id takes part
+like any other; its class id is null only if no row of its class has a doc_id.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import by_group, cut, id_text
+from lumisift.llm.common import bit_filter, by_group, cut, hot_join, hot_of, id_text, slices, with_hit
 from lumisift.llm.graph import components
 from lumisift.llm.words import grams, mix, word_hashes
 
@@ -38,8 +42,8 @@ BANDS, BAND_ROWS = 28, 4
 VALUES = BANDS * BAND_ROWS
 #: MinHash values compared before each decision to prune.
 STEPS = (16, 32, 64, VALUES)
-#: Members of a bucket, and of a component, that one side of a task holds at most, about.
-BUCKET_CHUNK, COMPONENT_CHUNK = 4096, 256
+#: Members of a bucket, and of a component, that one side of a task holds at most, about; and hashes of their shingles.
+BUCKET_CHUNK, COMPONENT_CHUNK, CHUNK_HASHES = 4096, 512, 1 << 21
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64))
 _TIMES, _PLUS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -86,19 +90,37 @@ def survivors(values: np.ndarray, one: int, others: np.ndarray, threshold: float
     return others
 
 
+def shingles_of(text: str | None) -> tuple[bytes | None, np.ndarray]:
+    """The key of the text's words, None if there are none, and its shingles as they stand."""
+    words = word_hashes(text)[0]
+    if not len(words):
+        return None, words
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest(), grams(words, SHINGLE_WORDS)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key, sig, bands = [], [], []
+    for batch in slices(batches):
+        key, sig, bands, size = [], [], [], []
         for text in batch.column("text").to_pylist():
-            words = word_hashes(text)[0]
-            if not len(words):
-                key.append(None), sig.append(None), bands.append(None)
+            own, shingles = shingles_of(text)
+            key.append(own), size.append(len(shingles))
+            if own is None:
+                sig.append(None), bands.append(None)
                 continue
-            values = minhash(grams(words, SHINGLE_WORDS))
-            key.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+            values = minhash(shingles)
             sig.append(short(values).tobytes())
             bands.append(band_keys(values))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at", "also")), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["doc_id", "at", "also", "key", "sig", "bands", "size"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = {}
+        for text in batch.column("text").to_pylist():
+            key, shingles = shingles_of(text)
+            if key is not None:
+                found[key] = np.unique(shingles).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), pa.array([*found.values()], pa.binary())], names=["key", "shingles"])
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -127,25 +149,37 @@ def _bucket(threshold: float, tolerance: float):
     return of
 
 
+def _differences(_: tuple, rows: pa.Table) -> Iterable[pa.RecordBatch]:
+    """Each node's shingles as those by which they differ from the first node's of the component, and how many of them are its own."""
+    keys, sets, first = rows.column("key").to_pylist(), rows.column("shingles").to_pylist(), rows.column("is_first").to_pylist()
+    # a first node that no row gave can't be: it has a row like any other
+    base = np.frombuffer(sets[first.index(True)], dtype=np.uint64)
+    at = [i for i in {k: i for i, k in reversed(list(enumerate(keys))) if not first[i]}.values()]  # repeated rows give a set more than once
+    apart, more, size = [], [], []
+    for i in at:
+        own = np.frombuffer(sets[i], dtype=np.uint64)
+        new = np.setdiff1d(own, base, assume_unique=True)
+        apart.append(np.concatenate([new, np.setdiff1d(base, own, assume_unique=True)]).tobytes()), more.append(len(new)), size.append(len(own))
+    kept = rows.take(pa.array(at, pa.int64())).combine_chunks()
+    yield from pa.Table.from_arrays([*(kept.column(c) for c in ("label", "key", "copies", "sig")), pa.array(size, pa.int64()), pa.array(apart, pa.binary()), pa.array(more, pa.int64())], names=["label", "key", "copies", "sig", "size", "apart", "more"]).to_batches()
+
+
 def _verified(threshold: float, tolerance: float):
     def of(block: tuple, rows: pa.Table) -> Iterable[pa.RecordBatch]:
         """Links of each node inside one pair of chunks, and each linked node with the smallest of its part."""
         _, first, second = block
-        hashed = [word_hashes(t)[0] for t in rows.column("text").to_pylist()]
-        wanted = rows.column("key").to_pylist()
-        # a doc_id that is used for different texts brings texts that are not the node's
-        right = [i for i, (w, k) in enumerate(zip(hashed, wanted, strict=True)) if hashlib.blake2b(w.tobytes(), digest_size=16).digest() == k]
-        right = list({wanted[i]: i for i in reversed(right)}.values())
-        if len(right) < 2:
+        keys = rows.column("key").to_pylist()
+        if len(keys) < 2:
             return
-        keys, copies = [wanted[i] for i in right], np.array(rows.column("copies").to_pylist())[right]
-        side = np.array(rows.column("chunk").to_pylist())[right]
-        sets = [np.unique(grams(hashed[i], SHINGLE_WORDS)) for i in right]
-        values = np.stack([short(minhash(s)) for s in sets])
-        sizes = np.array([len(s) for s in sets])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        copies, side, sizes, more = (rows.column(c).to_numpy().astype(np.int64) for c in ("copies", "chunk", "size", "more"))
+        values = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(len(keys), VALUES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("apart").to_pylist()]
+        lengths = np.array([len(s) for s in sets])
+        less = lengths - more
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        mark = np.zeros(local.max() + 1, dtype=bool)
+        mark = np.zeros(len(local) + 1, dtype=bool)
         links, root = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
         for i in range(len(keys)):
             others = np.arange(i + 1, len(keys))
@@ -155,16 +189,22 @@ def _verified(threshold: float, tolerance: float):
             others = survivors(values, i, others, threshold, tolerance)
             if not len(others):
                 continue
-            own = local[starts[i] : starts[i + 1]]
+            own = local[starts[i] : ends[i]]
             mark[own] = True
-            both = np.array([mark[local[starts[j] : starts[j + 1]]].sum() for j in others])
+            if 4 * lengths[others].sum() < len(local):
+                shared = np.array([mark[local[starts[j] : ends[j]]].sum() for j in others])
+            else:
+                total = np.concatenate([[0], np.cumsum(mark[local])])
+                shared = total[ends[others]] - total[starts[others]]
             mark[own] = False
+            # what both keep of the first node's set, and what both add to it or leave out of it alike
+            both = sizes[i] - more[i] - less[others] + shared
             others = others[both >= threshold * (sizes[i] + sizes[others] - both) - 1e-9]
             links[i] += copies[others].sum()
             links[others] += copies[i]
-            for j in others:
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
+            for r in np.unique(root[others]):
+                if r != root[i]:
+                    root[root == r] = root[i]
         linked = np.flatnonzero(links)
         if len(linked):
             least: dict[int, bytes] = {}
@@ -178,49 +218,90 @@ def _verified(threshold: float, tolerance: float):
     return of
 
 
-def _chunked(members: DataFrame, group: str, size: str, chunk: int) -> DataFrame:
-    """A row for each pair of chunks that a member takes part in; one where the group fits a chunk."""
-    n = F.ceil(F.col(size) / chunk).cast("int")
-    dealt = members.withColumn("chunks", n).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")}).drop("chunks", "other", size)
+def _chunks(n: str, size: str, most: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(size) / CHUNK_HASHES), F.lit(1)).cast("int")
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, class_id (smallest doc_id of all texts that links join), n_links (rows that it is linked to)."""
-    docs = id_text(docs)
-    signed = cut(docs.mapInArrow(_signed, "doc_id long, key binary, sig binary, bands array<long>"))
-    nodes = cut(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """A row for each pair of chunks that a member takes part in; one where the group is one chunk."""
+    each = _dealt(members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")}).drop("chunks", "other")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """docs with two hashes that tell where a row's text is: rows share both only if they share doc_id and text."""
+    return docs.withColumns({"at": F.xxhash64("doc_id", "text"), "also": F.hash("text", "doc_id")})
+
+
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Every row: doc_id, at, also, key; and of the keys of more than one row or with a link: key, copies, first (of the class: doc_id, at, also), n_links."""
+    docs = _places(id_text(docs))
+    signed = cut(docs.mapInArrow(_signed, "doc_id long, at long, also int, key binary, sig binary, bands array<long>, size long"))
+    nodes = cut(signed.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at", "also")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    n = nodes.count()
 
     entries = nodes.select("key", F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("n > 1")
     # buckets of the same nodes are one piece of work
-    full = full.groupBy("who", "n").agg(F.min("band").alias("band")).select("band", "n")
-    members = _chunked(entries.join(full, "band"), "band", "n", BUCKET_CHUNK).join(nodes.select("key", "sig"), "key")
+    full = cut(full.groupBy("who", "n").agg(F.min("band").alias("band")).select("band", "n"))
+    members = hot_join(entries, full, hot_of(full, "n", n), "band").select("key", "band", F.ceil(F.col("n") / BUCKET_CHUNK).cast("int").alias("chunks"))
+    members = _paired(members).join(nodes.select("key", "sig"), "key")
     near = by_group(members.select("band", "first", "second", "key", "sig"), ["band", "first", "second"], _bucket(threshold, tolerance), "a binary, b binary")
 
-    part_of = components(near)
-    size = part_of.groupBy("label").agg(F.count("*").alias("n"))
-    inside = part_of.join(size, "label").withColumnRenamed("node", "key").join(nodes.select("key", "first_id", "copies"), "key")
-    inside = inside.join(docs.withColumnRenamed("doc_id", "first_id"), "first_id").drop("first_id")
-    blocks = _chunked(inside, "label", "n", COMPONENT_CHUNK)
-    checked = cut(by_group(blocks.select("label", "first", "second", "key", "copies", "chunk", "text"), ["label", "first", "second"], _verified(threshold, tolerance), "a binary, b binary, links long"))
+    part_of = cut(components(near).withColumnRenamed("node", "key").join(nodes.select("key", "first", "copies", "sig", "size"), "key"))
+    size = cut(part_of.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")))
+    inside = hot_join(part_of.drop("first"), size, hot_of(size, "n", n), "label").withColumn("chunks", _chunks("n", "hashes", COMPONENT_CHUNK)).drop("n", "hashes")
+    # only rows whose text is some node's may pass the filter; those of no node match no key
+    wanted = bit_filter(part_of, "first.at")
+    sets = with_hit(docs, F.col("at"), wanted, "wanted").where("wanted").select("text").mapInArrow(_sets, "key binary, shingles binary")
+    held = cut(_dealt(inside.join(sets, "key")).withColumn("is_first", F.lit(False)))
+    bases = held.where("key = label").dropDuplicates(["key"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "is_first": F.lit(True)})
+    apart = by_group(held.unionByName(bases).drop("chunks", "size"), ["label", "chunk"], _differences, "label binary, key binary, copies long, sig binary, size long, apart binary, more long")
+    apart = cut(apart)
+    size = cut(apart.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("apart") / 8).alias("hashes")))
+    blocks = _paired(hot_join(apart, size, hot_of(size, "n", n), "label").withColumn("chunks", _chunks("n", "hashes", COMPONENT_CHUNK)).drop("n", "hashes"))
+    checked = cut(by_group(blocks, ["label", "first", "second"], _verified(threshold, tolerance), "a binary, b binary, links long"))
 
     links = checked.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     joined = components(checked.where("b is not null")).withColumnRenamed("node", "key")
-    first = joined.join(nodes.select("key", "first_id"), "key").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = joined.join(first, "label").select("key", "class_id")
-    known = nodes.select("key", "first_id", "copies").join(named, "key", "left").join(links, "key", "left").where("copies > 1 or class_id is not null")
-    known = known.select("key", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "key").join(known, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    firsts = cut(joined.join(nodes.select("key", "first"), "key").groupBy("label").agg(F.min("first").alias("first"), F.count("*").alias("n")))
+    named = hot_join(joined, firsts, hot_of(firsts, "n", n), "label").select("key", F.col("first").alias("of_class"))
+    known = nodes.select("key", "first", "copies").join(named, "key", "left").join(links, "key", "left").where("copies > 1 or of_class is not null")
+    known = cut(known.select("key", "copies", F.coalesce("of_class", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return signed.select("doc_id", "at", "also", "key"), known
+
+
+def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, class_id (smallest doc_id of all texts that links join), n_links (rows that it is linked to)."""
+    rows, known = _classes(docs, threshold, tolerance)
+    out = hot_join(rows.select("doc_id", "key"), known, hot_of(known, "copies", rows.count()), "key", "left")
+    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs without the rows that are not the smallest doc_id of their class; all columns stay.
+    """docs without the rows that are not the first of their class; all columns stay.
 
-    Rows that share a doc_id stand or fall together; of those that share the text too, one stays. Rows
-    with a null doc_id can't be named, so they stay, each text once.
+    The first is the one with the smallest doc_id, one without doc_id only if all are; rows of different texts that share a
+    doc_id are told apart. Of rows that share doc_id and text one stays, the one whose columns come first as JSON.
+    Texts without words are no copies of one another: all their rows stay. Rows that the filter of
+    what goes or is repeated can't hold stay in place; only the others are shuffled.
     """
-    gone = similar_groups(docs, threshold, tolerance).where("class_id <> doc_id").select("doc_id")
-    own = "text hash" + "_" * max(map(len, docs.columns))  # no column has this name
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns).withColumn(own, F.xxhash64(F.col("text").cast("string")))
-    return kept.dropDuplicates(["doc_id", own]).drop(own)
+    rows, known = _classes(docs, threshold, tolerance)
+    placed = hot_join(rows.where("key is not null"), known, hot_of(known, "copies", rows.count()), "key")
+    stays = (F.col("at") == F.col("first.at")) & (F.col("also") == F.col("first.also"))
+    decided = cut(placed.groupBy("at", "also", stays.alias("stays")).agg(F.count("*").alias("n")).where("not stays or n > 1").select("at", "also", "stays"))
+    end = "_" * (1 + max(map(len, docs.columns)))  # no column ends so
+    own = {f"at{end}": F.xxhash64(F.col("doc_id").try_cast("long"), F.col("text").cast("string")), f"also{end}": F.hash(F.col("text").cast("string"), F.col("doc_id").try_cast("long"))}
+    met = with_hit(docs.withColumns(own), F.col(f"at{end}"), bit_filter(decided, "at"), f"met{end}")
+    told = decided.select(F.col("at").alias(f"at{end}"), F.col("also").alias(f"also{end}"), F.col("stays").alias(f"stays{end}"))
+    found = met.where(f"`met{end}`").join(told, [f"at{end}", f"also{end}"], "left")
+    kept = met.where(f"not `met{end}`").select(docs.columns).union(found.where(f"`stays{end}` is null").select(docs.columns))
+    if decided.where("stays").limit(1).count():
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        once = found.where(f"`stays{end}`").groupBy(f"at{end}", f"also{end}").agg(F.min_by(whole, F.to_json(whole)).alias(f"row{end}"))
+        kept = kept.union(once.select(*(F.col(f"row{end}")[c].alias(c) for c in docs.columns)))
+    return kept

@@ -109,3 +109,37 @@ def test_components(spark):
     out = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_is_the_same_over_partitionings(spark):
+    """Rows without doc_id take part, rows that repeat are one, and neither order nor partitions matter."""
+    rows = corpus(7)[:50]
+    rows = [(None if i % 17 == 5 else i // 2 * 2 if i % 13 == 3 else i, t) for i, t in rows] + rows[:2] + [(None, rows[8][1] + " tail"), (None, rows[8][1] + " tail"), (70, None), (70, None)]
+    place = [(n, t) for n, (_, t) in enumerate(rows)]
+    classes = brute(place)
+    named = lambda n: (rows[n][0] is None, rows[n][0] or 0)
+    firsts = {c: min((named(n) for n in classes if classes[n][0] == c)) for c in {c for c, _ in classes.values()}}
+    want = sorted({(i, t) for n, (i, t) in enumerate(rows) if t and named(n) == firsts[classes[n][0]]} | set(), key=repr)
+    for parts in (1, 7):
+        df = spark.createDataFrame([(i, t, f"at {n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, at string, also int").repartition(parts)
+        kept = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+        assert sorted(((i, t) for i, t, _, _ in kept if t), key=repr) == want
+        assert sum(t is None for _, t, _, _ in kept) == 2 and all(a == f"at {n}" for _, _, a, n in kept)
+
+
+def test_hot_keys_and_filters(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lumisift.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate([1] * 50 + [2] * 50 + [None] * 20 + list(range(3, 60)))], "k long, n long")
+    facts = spark.createDataFrame([(k, f"v{k}", 50 if k < 3 else 1) for k in range(1, 40)], "k long, v string, w long")
+    hot = common.hot_of(facts, "w", 177)
+    assert hot.count() == 2
+    inner, left = (common.hot_join(rows, facts, hot, "k", how).collect() for how in ("inner", "left"))
+    assert len(inner) == 137 and all(r.v == f"v{r.k}" for r in inner) and len(left) == 177
+    assert all((r.v == f"v{r.k}") if r.k and r.k < 40 else r.v is None for r in left)
+    bits = common.bit_filter(facts.select(F.xxhash64("k").alias("h")), "h")
+    out = common.with_hit(rows, F.xxhash64("k"), bits, "hit").collect()
+    assert all(r.hit for r in out if r.k and r.k < 40) and not all(r.hit for r in out)
