@@ -11,8 +11,9 @@ item's words (2 for a word that the item has, -1 for another), then aligned with
 The benchmark comes in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded;
 each block is a scan. Documents are never shuffled, and long ones are filtered in pieces.
 
-Null and word-free texts and items match nothing, nor do items under four words (too short to
-be evidence). Repeated rows of a document give one row for each item. Ties: the best score counts.
+Null and word-free texts and items match nothing, nor do items of fewer than least_words words, a parameter (half of so
+short an item is no evidence). Documents and items without an id take part and are reported under null. Repeated rows of a
+document give one row for each item. Ties: the best score counts, then the first place.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from lumisift.llm.common import id_text, slices
 from lumisift.llm.words import word_hashes
 
 LEAST_WORDS, THRESHOLD = 4, 0.5
-BLOCK_WORDS, PIECE_WORDS, SAMPLE_TEXTS = 500_000, 1 << 16, 64
+BLOCK_WORDS, PIECE_WORDS, SAMPLE_TEXTS = 2_000_000, 1 << 16, 64
 MATCH, MISMATCH, GAP = 2, -1, 1
 _BITS = 20
 
@@ -92,11 +94,11 @@ class Seeds:
             yield int(owner[part[0]]), int(low[part[0]]), int(high[part[-1]])
 
 
-def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> Iterator[Items]:
     held, words = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").try_cast("long").alias("item_id"), "text").toLocalIterator():
         own = word_hashes(row.text)[0]
-        if len(own) >= LEAST_WORDS:
+        if len(own) >= max(1, least_words):
             held.append((row.item_id, own))
             words += len(own)
         if words >= BLOCK_WORDS:
@@ -119,6 +121,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
             best, end = top, int(row.argmax())
     return best, end
 
+
 def bound(own: np.ndarray, text: np.ndarray) -> int:
     """No local score is higher: the best stretch of text, each word of the item (own: distinct, sorted) counting MATCH."""
     there = own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text
@@ -150,23 +153,38 @@ def _leaks(items):
             seeds = seeds or items.value.seeds(texts[:SAMPLE_TEXTS])
             out = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for x in found(seeds, word_hashes(text)[0])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """Every (doc_id, item_id) whose best alignment has at least the threshold of a full copy's score, with the score and the words it spans."""
     spark = docs.sparkSession
-    docs = id_text(docs).where("doc_id is not null")
+    docs = id_text(docs)
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark, threshold):
+    for block in item_blocks(benchmark, threshold, least_words):
         out = out.union(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(block)), schema))
     best = F.max(F.struct("score", -F.col("first_word"), "end_word"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that leak an item; all columns stay, and rows with a null doc_id or text."""
-    return docs.join(leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _clean_udf(items):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds = None
+        for texts in batches:
+            seeds = seeds or items.value.seeds(list(texts[:SAMPLE_TEXTS]))
+            yield pd.Series([next(found(seeds, word_hashes(t)[0]), None) is None for t in texts], dtype=bool)
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without the rows in which an item is found; each row is judged in place, by its text alone, and all columns stay."""
+    out = docs
+    for block in item_blocks(benchmark, threshold, least_words):
+        out = out.where(_clean_udf(docs.sparkSession.sparkContext.broadcast(block))(F.col("text").cast("string")))
+    return out

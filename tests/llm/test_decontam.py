@@ -99,3 +99,43 @@ def test_filter_loses_no_alignment(monkeypatch):
     spread = np.concatenate([[w, np.uint64(7)] for w in np.unique(hashed)[:20]])
     one = decontam.Items([(0, spread[::2])], 0.5)
     assert [x[0] for x in decontam.found(one.seeds([]), spread)] == [0]
+
+
+def test_every_third_and_fourth_word_edited_and_rows_without_ids(spark):
+    rng = np.random.default_rng(5)
+    items = [(i if i else None, [f"w{x}" for x in rng.integers(0, 3000, 30)]) for i in range(6)]
+    docs = []
+    for d in range(60):
+        step = 3 + d % 2
+        copy = [f"e{d}" if k % step == step - 1 else w for k, w in enumerate(items[d % 6][1])]
+        docs.append((d if d % 10 else None, " ".join([f"x{d}", "y", *copy, "z"])))
+    docs += [(None, " ".join(f"v{d}" for d in range(50))), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert out == {(d if d % 10 else None, d % 6 or None) for d in range(60)}
+    assert {r.text for r in decontam.without_leaks(df, bench).collect()} == {docs[-2][1], None}
+
+
+def test_all_pairs_of_the_smallest_tables(spark):
+    """Against alignment of every item with every whole document."""
+    import pyarrow.parquet as pq
+
+    docs, items = (pq.read_table(f"/root/testdata/sf0.001/{t}.parquet").to_pydict() for t in ("documents", "benchmark"))
+    hashed = {i: decontam.word_hashes(t)[0] for i, t in zip(items["item_id"], items["text"], strict=True)}
+    want = {}
+    for d, text in zip(docs["doc_id"], docs["text"], strict=True):
+        words = decontam.word_hashes(text)[0]
+        for i, item in hashed.items():
+            if np.isin(item, words).sum() * MATCH >= MATCH * len(item) / 2 and (s := align(item, words)[0]) >= MATCH * len(item) / 2:
+                want[d, i] = s / (MATCH * len(item))
+    frame = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(frame("documents"), frame("benchmark")).collect()} == want and want
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"k{i}" for i in range(30))
+    text = "a b c d " * 100_000 + item + " e" * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = decontam.leaks(df, spark.createDataFrame([(1, item), (2, item + " tail")], "item_id long, text string")).collect()
+    assert sorted((r.item_id, r.first_word) for r in out) == [(1, 400_000), (2, 400_000)]
