@@ -7,8 +7,8 @@ of logits for each bucket. A part of the sample that training doesn't see sets t
 (least log loss) and the score under which predictions are rejected: the lowest at which the
 accepted ones reach PRECISION. Rejected rows keep their prediction and have accepted false.
 
-Only text and lang of rows that are not held out are learned from: a sample of at most PER_LANGUAGE
-rows for each of at most LANGUAGES languages, drawn by a hash of doc_id. Prediction sees text alone.
+Only text and lang of rows that are not held out are learned from: a sample of about PER_LANGUAGE
+rows of every language there is, drawn by a hash of doc_id and text. Rows are kept sparse. Prediction sees text alone.
 
 Texts that are null or have no letter get `und`, score 0, and so does every text if there is
 nothing to learn from. Whole texts are read. Ties of scores go to the language that sorts first.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lumisift.llm.common import slices
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 13, 16, (1, 2, 3, 4)
-PER_LANGUAGE, LANGUAGES = 700, 40
+PER_LANGUAGE = 700
 EPOCHS, BATCH, RATE, PRECISION = 12, 32, 8.0, 0.99
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -73,13 +73,43 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] >= self.reject)
 
 
-def train(x: np.ndarray, y: list[str], seed: int = 7) -> Model:
+@dataclass
+class Counts:
+    """Shares of buckets of many texts, row after row, without the zeros."""
+
+    at: np.ndarray
+    share: np.ndarray
+    starts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def dense(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that some rows hit, and the rows' shares of those."""
+        parts = [slice(self.starts[r], self.starts[r + 1]) for r in rows]
+        hit, column = np.unique(np.concatenate([self.at[p] for p in parts]), return_inverse=True)
+        out = np.zeros((len(rows), len(hit)), dtype=np.float32)
+        out[np.repeat(np.arange(len(rows)), [p.stop - p.start for p in parts]), column] = np.concatenate([self.share[p] for p in parts])
+        return hit, out
+
+    def times(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """One product of a row's shares with a table at a time."""
+        return np.stack([self.share[self.starts[r] : self.starts[r + 1]] @ table[self.at[self.starts[r] : self.starts[r + 1]]] for r in rows]) if len(rows) else np.zeros((0, table.shape[1]))
+
+
+def sparse(rows: list[tuple[np.ndarray, np.ndarray]]) -> Counts:
+    none = np.zeros(0)
+    return Counts(np.concatenate([none.astype(np.int32), *(a for a, _ in rows)]), np.concatenate([none.astype(np.float32), *(s for _, s in rows)]), np.cumsum([0, *(len(a) for a, _ in rows)]))
+
+
+def train(x: Counts, y: list[str], seed: int = 7) -> Model:
     """x: counts of the texts; y: their languages."""
     languages = sorted(set(y))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    own = np.array([languages.index(v) for v in y])
+    number = {v: i for i, v in enumerate(languages)}
+    own = np.array([number[v] for v in y])
     order = rng.permutation(len(own))
     rest, fit = (order[: len(own) // 5], order[len(own) // 5 :]) if len(own) >= 50 else (order, order)
     e = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -88,16 +118,16 @@ def train(x: np.ndarray, y: list[str], seed: int = 7) -> Model:
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(fit), BATCH):
             rows = fit[at : at + BATCH] if epoch == 0 else rng.choice(fit, min(BATCH, len(fit)))
-            h = x[rows] @ e
+            hit, shares = x.dense(rows)
+            h = shares @ e[hit]
             off = _softmax(h @ w + b)
             off[np.arange(len(rows)), own[rows]] -= 1
             off /= len(rows)
             to_e = off @ w.T
             w -= 0.1 * rate * (h.T @ off)
             b -= 0.01 * rate * off.sum(axis=0)
-            hit = np.flatnonzero(x[rows].any(axis=0))
-            e[hit] -= 50 * rate * (x[np.ix_(rows, hit)].T @ to_e)
-    z = x[rest] @ (e @ w) + b
+            e[hit] -= 50 * rate * (shares.T @ to_e)
+    z = x.times(rest, e @ w) + b
     loss = {t: -np.log(_softmax(z / t)[np.arange(len(rest)), own[rest]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
     t = min(loss, key=loss.get)
     p = _softmax(z / t)
@@ -108,13 +138,10 @@ def train(x: np.ndarray, y: list[str], seed: int = 7) -> Model:
 
 
 def model_of(docs: DataFrame, learn: Column) -> Model:
-    """Learns from docs(doc_id, text, lang) where learn holds."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn).where("lang is not null and text is not null")
-    have = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not have:
-        return train(np.zeros((0, BUCKETS), dtype=np.float32), [])
-    share = F.create_map(*(F.lit(v) for r in have for v in (r.lang, min(1.0, PER_LANGUAGE / r.n))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    """Learns from docs(doc_id, text, lang) where learn holds. The driver gets about PER_LANGUAGE sparse rows of each language."""
+    known = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn).where("lang is not null and text is not null")
+    have = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("part", F.least(F.lit(1.0), F.lit(PER_LANGUAGE) / F.col("n")))
+    drawn = known.join(F.broadcast(have.select("lang", "part")), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("part") * (1 << 30))  # a row for each language is broadcast
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -122,22 +149,18 @@ def model_of(docs: DataFrame, learn: Column) -> Model:
             hit = [np.flatnonzero(v).astype(np.int32) for v in x]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([v[h].tobytes() for v, h in zip(x, hit, strict=True)], pa.binary())], names=["doc_id", "lang", "at", "share"])
 
-    rows: pd.DataFrame = drawn.mapInArrow(counted, "doc_id long, lang string, at binary, share binary").limit(PER_LANGUAGE * LANGUAGES * 2).toPandas().sort_values(["doc_id", "lang"])
-    rows = rows.groupby("lang", sort=False).head(PER_LANGUAGE + PER_LANGUAGE // 4)
-    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-    for i, (at, share_) in enumerate(zip(rows["at"], rows["share"], strict=True)):
-        x[i, np.frombuffer(at, dtype=np.int32)] = np.frombuffer(share_, dtype=np.float32)
-    return train(x, rows["lang"].tolist())
+    rows: pd.DataFrame = drawn.select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, lang string, at binary, share binary").toPandas().sort_values(["lang", "doc_id", "at", "share"])
+    return train(sparse([(np.frombuffer(a, dtype=np.int32), np.frombuffer(s, dtype=np.float32)) for a, s in zip(rows["at"], rows["share"], strict=True)]), rows["lang"].tolist())
 
 
 def predicted(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times at most LANGUAGES numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    own = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
