@@ -46,6 +46,22 @@ def as_events(rows: DataFrame) -> DataFrame:
     return own.withColumn("msg", place).select("conv_id", F.col("msg").alias("seq"), "msg", F.lit("delta").alias("kind"), "role", "text")
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The same conversations as a chat service logs them: each text comes in two deltas; an answer's first draft is
+    regenerated, what another turn says is mistyped first and then edited."""
+    half = (F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    answer = F.col("role") == "assistant"
+    event = lambda n, kind, text: F.struct(F.lit(n).alias("n"), kind.alias("kind"), text.alias("text"))
+    log = F.array(
+        event(0, F.lit("delta"), F.concat(F.lit("draft "), second)),
+        event(1, F.when(answer, "regenerate").otherwise("edit"), F.when(answer, "").otherwise(first)),
+        event(2, F.lit("delta"), F.when(answer, first).otherwise("")),
+        event(3, F.lit("delta"), second),
+    )
+    return events.withColumn("e", F.explode(log)).select("conv_id", (4 * F.col("seq") + F.col("e.n")).alias("seq"), "msg", "e.kind", "role", "e.text")
+
+
 def folded(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, msg, role (of the message's first event that stays), text."""
     since = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("msg"), "kind", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +104,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def formatted(rows: DataFrame) -> DataFrame:
-    return rendered(folded(as_events(rows)))
+    """conversations(conv_id, turn, role, text), logged as a service would, folded and rendered."""
+    return rendered(folded(streamed(as_events(rows))))
 
 
 #: The same digests in SQL, without a log: rows by turn, escapes as replacements.

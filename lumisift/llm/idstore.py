@@ -5,9 +5,9 @@ last WINDOW ids has MASK's bits clear, so equal passages give equal chunks where
 A chunk's address is a hash of its ids. Files, all Parquet, under one folder:
 
 staged/    kind=chunk: key, ids: each unique chunk once; ids little-endian, 2 bytes each if the vocabulary allows, else 4
-           kind=recipe: the recipes as they came, from which the manifest is made
-manifest/  in ascending doc_id order: doc_id, start (ids of all documents before it), n_tokens, hashes
-           and sizes of its chunks (the recipe), and root, the Merkle root over the hashes
+manifest/  in ascending doc_id order: part (the number of a range of documents), inside (ids of the range before the
+           document), doc_id, n_tokens, hashes and sizes of its chunks (the recipe), and root, the Merkle root over the hashes
+starts/    for each range the ids of all ranges before it: a document starts at before + inside
 
 Ids are shuffled once, to where their chunk is stored, and a task sends a chunk at most once, so a
 chunk of a third of all documents stays small; recipes are dealt by a hash of their own, never by
@@ -17,7 +17,7 @@ Reading back checks every stored chunk against its address and every recipe agai
 The checksum of a document is put together from checksums of its chunks: CRC-32 is linear, so
 each chunk's part is its checksum times x to the number of bits after it, and parts are XORed.
 
-Null and empty texts are one end id. Rows that repeat a doc_id are documents of their own, in
+Null and empty texts are one end id. Rows without a doc_id come first. Rows that repeat a doc_id are documents of their own, in
 order of their roots. An empty table gives an empty store.
 """
 
@@ -29,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumisift.llm import words
 from lumisift.llm.bpe import codec
-from lumisift.llm.common import id_text, slices
+from lumisift.llm.common import HOT_SHARE, hot_join, id_text, remove, slices
 from lumisift.llm.words import mix
 
 END_ID = 0
@@ -113,6 +113,7 @@ def moved(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 _STAGED = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary())])
+_MANIFEST = "part int, inside long, doc_id long, n_tokens long, hashes array<binary>, sizes array<int>, root binary"
 _STAGED_SQL = "kind string, key binary, ids binary, doc_id long, n_tokens long, hashes array<binary>, sizes array<int>, root binary"
 
 
@@ -159,19 +160,25 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     place = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
     dealt = staged.withColumn("place", place).repartition("place").drop("place").mapInArrow(_once, _STAGED_SQL)
     dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
-    recipes = _recipes(spark, path)
-    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "hashes", "sizes", "root")
-    ordered.write.option("compression", "zstd").parquet(f"{path}/ordered")
-    parts = spark.read.parquet(f"{path}/ordered")
-    sums = {r.part: r.n for r in parts.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a number for each partition
+    ordered = _staged(spark, path, "recipe").select("doc_id", "n_tokens", "hashes", "sizes", "root").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    ordered.mapInArrow(_numbered, _MANIFEST).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    sums = {r.part: r.n for r in spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a number for each partition
     before, at = [], 0
     for part in sorted(sums):
         before.append((part, at))
         at += sums[part]
-    base = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    run_sum = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0))
-    with_start = parts.join(base, "part").withColumn("start", F.col("before") + run_sum - F.col("n_tokens"))
-    with_start.select("doc_id", "start", "n_tokens", "hashes", "sizes", "root").repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/manifest")
+    spark.createDataFrame(before, "part int, before long").coalesce(1).write.parquet(f"{path}/starts")
+    remove(spark, f"{path}/staged/kind=recipe")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one range with its number and, for each document, the ids before it in the range."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        ends = at + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(ends - n, pa.int64()), *batch.columns], names=["part", "inside", *batch.schema.names])
+        at = int(ends[-1]) if len(ends) else at
 
 
 def _staged(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -179,16 +186,14 @@ def _staged(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(_STAGED_SQL).parquet(f"{path}/staged").where(F.col("kind") == kind)
 
 
-def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return _staged(spark, path, "recipe").select("doc_id", "n_tokens", "hashes", "sizes", "root")
-
-
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     return _staged(spark, path, "chunk").select(F.col("key").alias("hash"), "ids")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, hashes array<binary>, sizes array<int>, root binary").parquet(f"{path}/manifest")
+    starts = F.broadcast(spark.read.schema("part int, before long").parquet(f"{path}/starts"))  # a row for each range
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").join(starts, "part")
+    return rows.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "hashes", "sizes", "root")
 
 
 def _checked(dtype: str):
@@ -225,22 +230,47 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "size")), pa.array(share.astype(np.int64))], names=["doc_id", "start", "n_tokens", "size", "share"])
 
 
+def _hot_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses that a thousandth of all recipes' entries or more name, such as that of an empty document: at most HOT_SHARE."""
+    named = manifest(spark, path).select(F.explode("hashes").alias("hash"))
+    total = named.count()
+    return F.broadcast(named.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE >= total).select("hash"))
+
+
 def summary(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32. A chunk that is missing or damaged, or a wrong recipe, is an error."""
-    crcs = chunks(spark, path).mapInArrow(_checked(dtype), "hash binary, crc long")
+    own = chunks(spark, path)
+    crcs, hot = (c.mapInArrow(_checked(dtype), "hash binary, crc long") for c in (own, own.join(_hot_chunks(spark, path), "hash")))
     used = manifest(spark, path).mapInArrow(_parts, "doc_id long, start long, n_tokens long, hash binary, after long, size long")
-    whole = used.join(crcs, "hash").select("doc_id", "start", "n_tokens", "size", "crc", "after").mapInArrow(_shares, "doc_id long, start long, n_tokens long, size long, share long")
+    whole = hot_join(used, crcs, hot, "hash").select("doc_id", "start", "n_tokens", "size", "crc", "after").mapInArrow(_shares, "doc_id long, start long, n_tokens long, size long, share long")
     read = whole.groupBy("doc_id", "start", "n_tokens").agg(F.expr("bit_xor(share)").alias("ids_crc32"), F.sum("size").alias("found"))
-    missing = F.raise_error(F.concat(F.lit("chunks are missing of document "), F.col("doc_id").cast("string")))
+    missing = F.raise_error(F.concat(F.lit("chunks are missing of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return read.select("doc_id", "start", F.when(F.col("found") == F.col("n_tokens"), F.col("n_tokens")).otherwise(missing.cast("long")).alias("n_tokens"), "ids_crc32")
 
 
+def _rebuilt(dtype: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for doc, root, n, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "root", "n_tokens", "parts")), strict=True):
+                if any(address(p["ids"]) != p["hash"] for p in parts) or merkle_root([p["hash"] for p in parts]) != root:
+                    raise ValueError(f"document {doc} is damaged")
+                ids = np.frombuffer(b"".join(p["ids"] for p in parts), dtype=dtype)
+                if len(ids) != n:
+                    raise ValueError(f"chunks are missing of document {doc}")
+                out.append(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    return run
+
+
 def documents(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
-    """The ids of each document, put together again: doc_id, start, ids array<int>, end id included."""
-    as_ids = F.udf(lambda parts: np.frombuffer(b"".join(parts), dtype=dtype).astype(int).tolist(), T.ArrayType(T.IntegerType()))
-    used = manifest(spark, path).select("doc_id", "start", F.posexplode("hashes").alias("pos", "hash"))
-    parts = used.join(chunks(spark, path), "hash").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return parts.select("doc_id", "start", as_ids("parts.ids").alias("ids"))
+    """The ids of each document, put together again and checked against addresses and root: doc_id, start, ids array<int>, end id included. A document's chunks meet in one row."""
+    used = manifest(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash"))
+    own = chunks(spark, path)
+    met = hot_join(used, own, own.join(_hot_chunks(spark, path), "hash"), "hash")
+    parts = met.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "ids"))).alias("parts"))
+    return parts.mapInArrow(_rebuilt(dtype), "doc_id long, start long, ids array<int>")
 
 
 def stored_summary(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The text is scanned, then whatever in it is encoded is decoded and scanned again, from a
 worklist that ends when no layer yields a new one. Layers: percent escapes, Unicode escapes
-(backslash u, U or x, and HTML character references), base64 (standard and URL alphabets),
-and gzip, zlib, bzip2 or zstd data anywhere inside base64. Base64 may be wrapped over lines and touch
+(backslash u, U or x, and HTML character references, by number or name), base64 (standard and URL alphabets),
+and gzip, zlib, bzip2, xz or zstd data anywhere inside base64. Text in base64 may be UTF-8 or UTF-16. Base64 may be wrapped over lines and touch
 other text; it is decoded in all four steps. Bytes that are no text part it into pieces, of which those
 under LEAST characters, too short for a finding, are left. A layer is the text of one encoded stretch or piece;
 each of its characters knows which stretch of the document it came from, so findings in any
@@ -25,6 +25,7 @@ import bz2
 import codecs
 import hashlib
 import html
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _LONE = re.compile("[\udc80-\udcff]")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&(?:#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})|[A-Za-z][A-Za-z0-9]{1,31});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=\r?\n))(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
 _CODE = re.compile(r"[A-Za-z0-9+/_=%\\&#;-]")
 _BREAK = re.compile(r"\s+")
@@ -58,9 +59,12 @@ _TEXT = re.compile(
     rb"(?:[\t\n\r -\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}+" % LEAST
 )
+#: The same in UTF-16, either byte first.
+_WIDE = re.compile(rb"(?:[\t\n\r -\x7e]\x00){%d,}+|(?:\x00[\t\n\r -\x7e]){%d,}+" % (LEAST, LEAST))
 _READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\ufffd]{%d}" % LEAST)
 _ZLIB = b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32)
-_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x28\xb5\x2f\xfd|" + _ZLIB, re.S)
+_XZ = b"\xfd7zXZ\x00"
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\xfd7zXZ\x00|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x28\xb5\x2f\xfd|" + _ZLIB, re.S)
 
 Span = tuple[int, int, int]
 
@@ -80,15 +84,15 @@ class _Unzlib:
     """zlib or gzip with the interface of the others."""
 
     def __init__(self):
-        self.stream, self.rest = zlib.decompressobj(47), b""
+        self.stream, self.rest, self.full = zlib.decompressobj(47), b"", False
 
     def decompress(self, data: bytes, most: int) -> bytes:
         out = self.stream.decompress(self.rest + data, most)
-        self.rest = self.stream.unconsumed_tail
+        self.rest, self.full = self.stream.unconsumed_tail, len(out) == most  # more may be held back although all input was taken
         return out
 
     eof = property(lambda self: self.stream.eof)
-    needs_input = property(lambda self: not self.rest)
+    needs_input = property(lambda self: not self.rest and not self.full)
     unused_data = property(lambda self: self.stream.unused_data)
 
 
@@ -109,7 +113,7 @@ def _inflated(data: bytes, at: int, ended: list[int]) -> Iterator[bytes]:
     """What compressed data holds from there on, through all members and frames that follow on one another; it ends where the
     data is broken. The place behind the last whole member is put into ended."""
     while _MAGIC.match(data, at):
-        stream = _Unzstd() if data.startswith(b"\x28\xb5\x2f\xfd", at) else bz2.BZ2Decompressor() if data.startswith(b"BZh", at) else _Unzlib()
+        stream = _Unzstd() if data.startswith(b"\x28\xb5\x2f\xfd", at) else bz2.BZ2Decompressor() if data.startswith(b"BZh", at) else lzma.LZMADecompressor(lzma.FORMAT_XZ) if data.startswith(_XZ, at) else _Unzlib()
         fed = at
         try:
             while not stream.eof and (fed < len(data) or not stream.needs_input):
@@ -117,7 +121,7 @@ def _inflated(data: bytes, at: int, ended: list[int]) -> Iterator[bytes]:
                 fed += len(more)
                 if out := stream.decompress(more, WINDOW_BYTES):
                     yield out
-        except (zlib.error, OSError, EOFError, zstandard.ZstdError):
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
             return
         at = fed - len(stream.unused_data)
         ended[0] = at
@@ -135,7 +139,7 @@ def _texts(windows: Iterator[bytes]) -> Iterator[str]:
         if size < least:
             continue
         found = "".join(held)
-        cut = _unfinished(found)
+        cut = _between(found)
         if _READABLE.search(found, 0, cut):
             yield found[:cut]
         held, size = [found[cut:]], len(found) - cut
@@ -177,6 +181,13 @@ def _unfinished(text: str) -> int:
     return at
 
 
+def _between(text: str) -> int:
+    """A place before all that may be unfinished that no assignment, which may hold spaces, lies over."""
+    at = _unfinished(text)
+    before = _unfinished(text[:at])
+    return min([at, *(m.start() for m in _ASSIGN.finditer(text, before) if m.start() < at < m.end())])
+
+
 def _percent(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """The whole layer with its percent escapes replaced: text, and first and end position in the layer of each character."""
     text, start, end, at = [], [], [], 0
@@ -239,6 +250,9 @@ def _base64(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
                 sizes = np.array([len(c.encode()) for c in found]) if len(found) < len(piece[0]) else np.ones(len(found), dtype=np.int64)
                 ends = piece.start() + np.cumsum(sizes)
                 yield found, place[skip + (ends - sizes) * 4 // 3], place[skip + -(-ends * 4 // 3) - 1] + 1
+            for piece in _WIDE.finditer(data) if b"\x00" in data else ():
+                ends = piece.start() + 2 * np.arange(1, len(piece[0]) // 2 + 1)
+                yield piece[0].replace(b"\x00", b"").decode(), place[skip + (ends - 2) * 4 // 3], place[skip + -(-ends * 4 // 3) - 1] + 1
             at = 0
             while magic := _MAGIC.search(data, at):
                 ended = [magic.start() + 1]
@@ -251,7 +265,7 @@ def _decoded(layer: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Layers that are one step below this one, made one at a time."""
     if "%" in layer:
         yield from _percent(layer)
-    if "\\" in layer or "&#" in layer:
+    if "\\" in layer or "&" in layer:
         yield from _escapes(layer)
     yield from _base64(layer)
 

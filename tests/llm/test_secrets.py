@@ -132,3 +132,45 @@ def test_stretches_over_the_ends_of_windows(monkeypatch):
         for shift in range(0, 1000, 90):
             hidden = "é " * shift + "; " + inner + " end" + " of it" * 400
             assert any(k == 0 for _, k, _ in S.find(base64.b64encode(gzip.compress(hidden.encode())).decode())[1]), (inner[:20], shift)
+
+
+def test_wide_text_xz_and_named_references():
+    import lzma
+
+    for data in (SECRET.encode("utf-16-le"), SECRET.encode("utf-16"), b"x" + SECRET.encode("utf-16-be"), lzma.compress(SECRET.encode()), lzma.compress(b"first, and more ") + lzma.compress(SECRET.encode())):
+        for shift in range(3):
+            coded = base64.b64encode(b"." * shift + data).decode()
+            assert any(k == 0 for _, k, _ in S.find(f"see {coded} end")[1]), data
+    wide = base64.b64encode(SECRET.encode("utf-16-le")).decode()
+    assert ("assign", wide.rstrip("=")) in cover(wide, S.find(wide)[1])
+    text = "password&equals;&quot;abcdefghijklmnop&quot; &nosuch; &amp"
+    assert ("assign", text[:38]) in cover(text, S.find(text)[1]) and not S.find(text)[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 80), st.integers(0, 3), st.booleans())
+def test_windows_change_no_finding(before, kind, compressed):
+    import lumisift.llm.secrets as own
+
+    inner = [SECRET, base64.b64encode(SECRET.encode()).decode(), urllib.parse.quote(SECRET, safe=""), base64.b64encode(gzip.compress(SECRET.encode())).decode()][kind]
+    hidden = ("lorem " * before + inner + " ipsum" * 40).encode()
+    text = base64.b64encode(gzip.compress(hidden) if compressed else hidden).decode()
+    whole, size = S.find(text)[1], own.WINDOW_BYTES
+    try:
+        own.WINDOW_BYTES = 64
+        small = S.find(text)[1]
+    finally:
+        own.WINDOW_BYTES = size
+    assert {(k, s, e) for s, k, e in small} == {(k, s, e) for s, k, e in whole} and any(k == 0 for _, k, _ in whole)
+
+
+def test_base_columns_are_those_of_sql(spark):
+    """The base spans of a table, by DuckDB's own regular expressions."""
+    import duckdb
+
+    kinds = {"n_access": "AKIA[A-Z0-9]{14,}", "n_hex": "[0-9a-f]{16,}"}
+    counts = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) AS {n}" for n, p in kinds.items())
+    assign = """len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 12)) AS n_assign"""
+    want = {r[0]: r[1:] for r in duckdb.sql(f"SELECT doc_id, {assign}, {counts} FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in S.secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == want and all(sum(v[k] for v in want.values()) for k in (0, 2))

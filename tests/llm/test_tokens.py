@@ -101,13 +101,22 @@ def test_store_of_nothing_and_of_repeats(spark, tmp_path):
     assert out == [(1, 0, 2), (1, 2, 2), (2, 4, 2)]
 
 
+def test_hot_chunks_and_rows_without_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "HOT_SHARE", 3)
+    rows = [(i, "" if i % 2 else f"text {i}") for i in range(40)] + [(None, "b"), (None, None)]
+    out = sorted(((r.start, r.doc_id, r.n_tokens) for r in stored(spark, rows, tmp_path).collect()))
+    assert [d for _, d, _ in out] == [None, None, *range(40)] and out[-1][0] + out[-1][2] == sum(len(tiktoken_ids.of(t or "")) + 1 for _, t in rows)
+    assert idstore.documents(spark, str(tmp_path / "store")).count() == 42
+
+
 def test_damage_is_found(spark, tmp_path):
     stored(spark, [(1, "a b c")], tmp_path)
     path = str(tmp_path / "store")
     bad = [(r.hash, bytes([r.ids[0] ^ 1]) + bytes(r.ids[1:])) for r in idstore.chunks(spark, path).collect()]
     spark.createDataFrame(bad, "key binary, ids binary").write.mode("overwrite").parquet(f"{path}/staged/kind=chunk")
-    with pytest.raises(Exception, match="damaged"):
-        idstore.summary(spark, path).collect()
+    for read in (idstore.summary, idstore.documents):
+        with pytest.raises(Exception, match="damaged"):
+            read(spark, path).collect()
 
 
 def test_merkle_root_depends_on_all_leaves():
