@@ -91,4 +91,4 @@ def length_stats(rows: DataFrame, column: str) -> DataFrame:
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows that a hash of key and seed draws: the same in every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)

@@ -291,7 +291,7 @@ def a3_distinct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(F.countDistinct("label").alias("n_articles"), F.countDistinct("vec_id").alias("n_images"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':0'), doc_id LIMIT 10")
 def k9_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 10)
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.operators import conversation, inference, prompts
 from lumisift.plans.articles import _EVIDENCE_SQL, merged
-from lumisift.plans.registry import query, table
+from lumisift.plans.registry import ORACLES, query, table
 
 TEMPLATE = "Summary:\n{{ summary.fact }}|{{ summary.raw }}\nPicture: {{ generated_caption }}\nCaption: {{ crawl_caption }}\nNames: {{ name_entity_keyword }}\nQuestions: {{ question_answer }}\n{% for e in examples %}Example {{ loop.index }}: {{ e.generated_caption }} -> {{ e.expected_output }}\n{% endfor %}Write."
+#: Candidates of a query that get captions.
+CANDIDATES = 3
 EXAMPLES = [{"generated_caption": "a hall", "expected_output": "A hall in June."}, {"generated_caption": "a port"}]
 
 
@@ -29,7 +33,7 @@ def m4_zipped_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("doc_id", F.size("z").cast("long").alias("n"), F.get("z.context", F.lit(0)).alias("context"))
 
 
-@query()
+@query(ORACLES["m1_m2_prj6_prompts"] + " ORDER BY query_id LIMIT 1")
 def m3_template_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of the first record."""
     first = merged(spark, sf_dir).orderBy("query_id").limit(1)
@@ -94,37 +98,62 @@ def m10_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("messages").cast("long").alias("n"), F.element_at("messages", -1)["role"].alias("last_role"), conversation.texts(F.col("messages")).alias("text"))
 
 
-@query()
+@query(
+    _TURNS
+    + """, p AS (SELECT conv_id, i // 2 AS pair, coalesce(max(CASE WHEN i % 2 = 0 THEN replace(coalesce(text, ''), '<image>', '') END), '') AS said,
+  max(CASE WHEN i % 2 = 1 THEN 'Assistant: ' || replace(regexp_replace(text, '(?s)^.*GPT:', ''), '<|endofchunk|>', '') END) AS answered FROM c GROUP BY conv_id, i // 2)
+SELECT conv_id, count(*) AS n, string_agg(said || chr(10) || coalesce(answered, '-'), chr(10) ORDER BY pair) AS view FROM p GROUP BY conv_id"""
+)
 def m12_chat_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select("conv_id", F.to_json(conversation.chat_view(F.col("messages"))).alias("view"))
+    pairs = conversation.chat_view(F.col("messages"))
+    line = F.transform(pairs, lambda p: F.concat(p["said"], F.lit("\n"), F.coalesce(p["answered"], F.lit("-"))))
+    return messages(spark, sf_dir).select("conv_id", F.size(pairs).cast("long").alias("n"), F.array_join(line, "\n").alias("view"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, text, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), 1, 80), ' ') AS own FROM documents),
+s AS (SELECT doc_id, text, ('0x' || left(md5(own), 7))::BIGINT AS seed FROM t),
+v AS (SELECT doc_id, text, list_transform(range(1, 769), lambda j: CAST(seed * j % 9973 AS DOUBLE) / 9973 - 0.5) AS v FROM s)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE CAST(768 AS INTEGER) END AS size, CASE WHEN text IS NOT NULL THEN round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS first FROM v
+""")
 def u2_encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", inference.encode_text(F.col("text")).alias("v"))
     return d.select("doc_id", F.size("v").alias("size"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
+#: What the stub model makes of a prompt: a hash, then the prompt's words.
+_STUB_SQL = _EVIDENCE_SQL + """, p AS (SELECT query_id, {prompt} AS prompt FROM merged)
+SELECT query_id, '{name}' AS strategy, left(md5(prompt), 8) || coalesce(' ' || nullif(array_to_string(list_slice(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda w: w <> ''), 1, {most} - 1), ' '), ''), '') AS text FROM p"""
+_FIELDS = {"article": "coalesce(article, '')", "generated_caption": "generated_caption", "summary.fact": "fact_summary", "crawl_caption": "coalesce(crawl_caption, '')", "name_entity_keyword": "name_entity_keyword", "question_answer": "question_answer"}
+
+
+def _stub_sql(name: str) -> str:
+    """A strategy's template as a concatenation of SQL."""
+    pieces = re.split(r"\{\{ ([\w.]+) \}\}", inference.STRATEGIES[name])
+    parts = [_FIELDS[p] if i % 2 else " || chr(10) || ".join("'" + t.replace("'", "''") + "'" for t in p.split("\n")) for i, p in enumerate(pieces)]
+    return _STUB_SQL.format(prompt=" || ".join(parts), name=name, most=inference.LIMITS[name][0])
+
+
 def _strategy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return inference.run_strategy(prompts.composed(merged(spark, sf_dir), EXAMPLES), name)
 
 
-@query()
+@query(_stub_sql("summarize"))
 def u8_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _strategy(spark, sf_dir, "summarize")
 
 
-@query()
+@query(_stub_sql("assemble"))
 def u9_u15_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _strategy(spark, sf_dir, "assemble")
 
 
-@query()
+@query(_stub_sql("question_answer"))
 def u10_question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _strategy(spark, sf_dir, "question_answer")
 
 
-@query()
+@query(_stub_sql("name_entity"))
 def u11_named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _strategy(spark, sf_dir, "name_entity")
 
@@ -135,5 +164,5 @@ def u16_candidate_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumisift.plans.retrieval import hits
 
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.encode(F.to_json("embedding"), "UTF-8").alias("content"))
-    slots = hits(spark, sf_dir).where("rank <= 3").select("query_id", "rank", F.col("item_id").alias("image_id"))
+    slots = hits(spark, sf_dir).where(F.col("rank") <= CANDIDATES).select("query_id", "rank", F.col("item_id").alias("image_id"))
     return inference.caption_candidates(slots, images.where("image_id % 5 <> 0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,5 +23,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a fixture's files, under the session's shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file, by Hadoop's file systems, so that any address Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(data))
+    out.close()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

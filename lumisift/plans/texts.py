@@ -142,7 +142,16 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 37 % 1900 + 100).cast("int").alias("width"), (F.col("vec_id") * 53 % 1400 + 100).cast("int").alias("height"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT vec_id, CAST(vec_id * 37 % 1900 + 100 AS INTEGER) AS width, CAST(vec_id * 53 % 1400 + 100 AS INTEGER) AS height FROM embeddings),
+g AS (SELECT c AS columns, r AS rows FROM range(1, 13) a(c), range(1, 13) b(r) WHERE c * r <= 12),
+o AS (SELECT s.*, g.columns, g.rows, abs(CAST(width AS DOUBLE) / height - CAST(g.columns AS DOUBLE) / g.rows) AS off, width * height > 0.5 * 448 * 448 * g.columns * g.rows AS large,
+  row_number() OVER (PARTITION BY vec_id ORDER BY g.columns * g.rows, g.columns) AS place FROM s, g),
+best AS (SELECT *, min(off) OVER (PARTITION BY vec_id) AS least FROM o),
+f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY place) AS n FROM best WHERE off = least)
+SELECT vec_id, width, height, CAST(columns AS INTEGER) AS columns, CAST(rows AS INTEGER) AS rows, CAST(columns * rows AS INTEGER) AS tiles
+FROM f WHERE n = 1 OR large QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY place DESC) = 1
+""")
 def k8_u7_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _sizes(spark, sf_dir).withColumn("grid", pixels.closest_grid(F.col("width"), F.col("height")))
     return own.select("vec_id", "width", "height", "grid.columns", "grid.rows", F.size(pixels.tile_boxes(F.col("grid"))).alias("tiles"))

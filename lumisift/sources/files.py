@@ -23,9 +23,15 @@ def file_sizes(images: DataFrame) -> DataFrame:
 
 def decoded(images: DataFrame, decode=None) -> DataFrame:
     """Images whose content can be decoded, with height and width; the others are dropped."""
-    from lumisift.functions.pixels import decode_ppm, image_shape
+    from lumisift.functions import pixels
 
-    return images.withColumn("shape", image_shape(F.col("content"), decode or decode_ppm)).where("shape.height is not null")
+    return images.withColumn("shape", pixels.image_shape(F.col("content"), decode or pixels.decode)).where("shape.height is not null")
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """id, path, height, width, channels and data of the JPEG and PNG images in a folder, by Spark's own decoder; files that can't be decoded are left out."""
+    found = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*").where(F.col("origin").rlike(IMAGE_NAME))
+    return found.select(S.stem(F.substring_index("origin", "/", -1)).alias("id"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
 def images_by_name(images: DataFrame, names: DataFrame) -> DataFrame:
@@ -78,11 +84,16 @@ def tolerant(read, spark: SparkSession, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header, quoted cells that may hold commas, doubled quotes and line ends; all strings, an empty cell is ''."""
+    """Header, quoted cells that may hold commas, doubled quotes and line ends; an empty cell of a string is ''. See inferred_csv for types from the data."""
     read = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', quote='"', enforceSchema=False)
     return read.na.fill("")
 
 
+def inferred_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same with types found from the data, by one more scan; an empty cell is null."""
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', quote='"')
+
+
 def templates(spark: SparkSession, folder: str) -> dict[str, str]:
     """Name without extension, and text, of every .j2 file below a folder: a driver's dictionary of small files."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.j2").text(folder, wholetext=True).select("_metadata.file_name", "value").collect()

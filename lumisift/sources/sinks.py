@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv as csv_module
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,5 +40,16 @@ def append_new(rows: DataFrame, done: DataFrame, path: str, key: str = "query_id
     to_do(rows, done, key).write.mode("append").parquet(path)
 
 
-def crawled(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def csv_to(rows: DataFrame, out=None) -> None:
+    """Header and rows as CSV on a stream, standard output by default; rows come to the driver one partition at a time."""
+    writer = csv_module.writer(out or sys.stdout, lineterminator="\n")
+    writer.writerow(rows.columns)
+    for row in rows.toLocalIterator():
+        writer.writerow(["" if v is None else v for v in row])
+
+
+def crawled(rows: DataFrame, path: str, images: DataFrame | None = None) -> None:
+    """Crawled records as JSON lines under records/, and the bytes of their images(id, content) under images/, which is where `id` finds them again."""
+    rows.write.mode("append").option("ignoreNullFields", False).json(f"{path}/records")
+    if images is not None:
+        images.select("id", "content").where("content is not null").write.mode("append").parquet(f"{path}/images")
