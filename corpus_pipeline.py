@@ -1,8 +1,8 @@
 """Cleaning of a document corpus: every stage works on all rows that the one before it kept.
 
 Each stage gets the documents of the one before as written Parquet and returns a DataFrame: all
-but the last with the columns of documents. Rows with a null text pass the filters; a null doc_id
-is compared with nothing, so such rows stay, one of them after the second stage.
+but the last with the columns of documents. Rows with a null text pass the filters; rows without a doc_id
+are judged by their text like any other. What a stage wrote goes as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumisift.llm import bpe, decontam, jaccard, secrets, toxicity
-from lumisift.llm.common import shared_folder, table
+from lumisift.llm.common import remove, shared_folder, table
 
 
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = shared_folder(spark, f"pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex[:6]}")
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(out)
+        docs = spark.read.schema(made.schema).parquet(out)
+        if last:
+            remove(spark, last)
+        last = out
     return docs

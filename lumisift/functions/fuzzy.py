@@ -14,13 +14,40 @@ def near_match(part: str, text: str, most: int) -> tuple[int, int] | None:
     """Start and end of a stretch of text at edit distance at most `most` from part.
 
     Of the first run of end places that are near enough, the best one counts, the first of equals;
-    its start is the latest one that gives its distance. The search goes column by column of the
-    usual table of edit distances with free starts, keeping where each alignment began.
+    its start is the latest one that gives its distance. Of most + 1 pieces of part any such stretch
+    holds one unchanged, so only the text around exact hits of pieces is searched.
     """
     if len(part) <= most or not part:
         return (0, 0)
-    if (exact := text.find(part)) >= 0 and most == 0:
-        return exact, exact + len(part)
+    if most == 0:
+        return (at, at + len(part)) if (at := text.find(part)) >= 0 else None
+    for low, high in _regions(part, text, most):
+        if hit := _searched(part, text[low:high], most):
+            return low + hit[0], low + hit[1]
+    return None
+
+
+def _regions(part: str, text: str, most: int) -> list[tuple[int, int]]:
+    """Stretches of text that hold every near match whole, in order and apart from one another."""
+    cuts = [len(part) * i // (most + 1) for i in range(most + 2)]
+    hits = set()
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        at = text.find(part[begin:end])
+        while at >= 0:
+            hits.add(at - begin)
+            at = text.find(part[begin:end], at + 1)
+    out: list[tuple[int, int]] = []
+    for start in sorted(hits):
+        low, high = max(0, start - 2 * most), start + len(part) + 2 * most
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _searched(part: str, text: str, most: int) -> tuple[int, int] | None:
+    """Column by column of the usual table of edit distances with free starts, keeping where each alignment began."""
     p = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     n = len(p)

@@ -68,7 +68,10 @@ def contained(ids: DataFrame, names: DataFrame, gram: int = 4) -> DataFrame:
     Ids shorter than a run are compared with all runs' beginnings of that length.
     """
     runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
-    long = ids.where(F.length("id") >= gram).withColumn("run", F.substring(F.col("id"), F.lit(1), F.lit(gram)))
+    each = ids.where(F.length("id") >= gram).select("id").distinct().select("id", F.explode(runs("id", gram)).alias("run"))
+    often = each.groupBy("run").agg(F.count("*").alias("n"))
+    # of an id's runs the one that fewest ids have, so that a common beginning is no key
+    long = each.join(often, "run").groupBy("id").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
     hit = long.join(names.select("name", F.explode(runs("name", gram)).alias("run")), "run").where(F.contains("name", "id"))
     short = ids.where(F.length("id") < gram)
     cases = [hit.select("id")]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lumisift.functions import vectors
 
 BLOCK_ROWS = 8192
+#: Pairs that the plan which makes all of them is allowed.
+MOST_PAIRS = 100_000_000
 TOP_K = 15
 #: Scores are rounded before they are ranked; a block keeps what could still tie after rounding.
 DIGITS = 6
@@ -52,7 +54,9 @@ def _best(scale: float, k: int, exclude_self: bool):
 
 
 def scored_pairs(queries: DataFrame, database: DataFrame, score: Column, exclude_self: bool = False) -> DataFrame:
-    """query_id, item_id and score of every pair: queries(query_id, q), database(item_id, d). For sides of which one is small; top_k doesn't make pairs."""
+    """query_id, item_id and score of every pair: queries(query_id, q), database(item_id, d). At most MOST_PAIRS; top_k makes no pairs."""
+    if (n := queries.count() * database.count()) > MOST_PAIRS:
+        raise ValueError(f"{n} pairs are more than {MOST_PAIRS}: use strategy block")
     pairs = queries.join(database, F.col("query_id") != F.col("item_id") if exclude_self else F.lit(True))
     return pairs.select("query_id", "item_id", F.round(score, DIGITS).alias("score"))
 

@@ -63,8 +63,7 @@ def p4_p6_fuzzy_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.concat(F.substring("origin_text", 1, 1), F.lit("#"), F.substring("origin_text", F.lit(3), F.length("origin_text")))
     images = _articles(spark, sf_dir).select("article_id", F.concat(F.col("article_id").cast("string"), F.lit("_0.jpg")).alias("image_id"), F.col("content").alias("origin_text"))
     around = positions.neighbours(images.withColumn("origin_text", changed), _crawl(spark, sf_dir))
-    cut = around.withColumns({"prev_text": F.right("prev_text", F.lit(200)), "next_text": F.left("next_text", F.lit(200))})
-    return positions.located(cut).select("article_id", F.col("origin_pos").alias("position"))
+    return positions.located(around).select("article_id", F.col("origin_pos").alias("position"))
 
 
 _NAMES_SQL = """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumisift.operators import conversation, inference, prompts
 from lumisift.plans.articles import _EVIDENCE_SQL, merged
 from lumisift.plans.registry import ORACLES, query, table
+from lumisift.plans.retrieval import _HITS, hits
 
 TEMPLATE = "Summary:\n{{ summary.fact }}|{{ summary.raw }}\nPicture: {{ generated_caption }}\nCaption: {{ crawl_caption }}\nNames: {{ name_entity_keyword }}\nQuestions: {{ question_answer }}\n{% for e in examples %}Example {{ loop.index }}: {{ e.generated_caption }} -> {{ e.expected_output }}\n{% endfor %}Write."
 #: Candidates of a query that get captions.
@@ -158,11 +159,9 @@ def u11_named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _strategy(spark, sf_dir, "name_entity")
 
 
-@query()
+@query(_HITS + f" SELECT query_id, rank, item_id AS image_id, CASE WHEN item_id % 5 <> 0 THEN 'image ' || left(md5('vector ' || item_id), 8) ELSE '' END AS caption FROM hits WHERE rank <= {CANDIDATES}")
 def u16_candidate_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short captions of every image's three nearest; the bytes of a vector stand in for an image."""
-    from lumisift.plans.retrieval import hits
-
-    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.encode(F.to_json("embedding"), "UTF-8").alias("content"))
+    """Short captions of every image's nearest ones; a text that names the vector stands in for an image's bytes."""
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.encode(F.concat(F.lit("vector "), F.col("vec_id").cast("string")), "UTF-8").alias("content"))
     slots = hits(spark, sf_dir).where(F.col("rank") <= CANDIDATES).select("query_id", "rank", F.col("item_id").alias("image_id"))
     return inference.caption_candidates(slots, images.where("image_id % 5 <> 0"))
