@@ -35,6 +35,29 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+def by_text(docs: DataFrame, f: Callable[[Iterator[list[str | None]]], Iterator[list]], column: bool = False) -> DataFrame:
+    """Rows judged in place by their text: f gets the texts of some rows at a time and gives for each whether it stays; with column, its new text."""
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for part in slices(batches):
+                held.append(part)
+                yield part.column(at).to_pylist()
+
+        for out in f(texts()):
+            part = held.pop()
+            if column:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+            else:
+                yield part.filter(pa.array(out, pa.bool_()))
+
+    return own.mapInArrow(run, own.schema)
+
+
 _own: list[str] = []
 
 

@@ -22,12 +22,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, slices
+from lumisift.llm.common import by_text, id_text, slices
 from lumisift.llm.words import word_hashes
 
 LEAST_WORDS, THRESHOLD = 4, 0.5
@@ -171,20 +170,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 
 
-def _clean_udf(items):
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _clean(items):
+    def judge(parts: Iterator[list[str | None]]) -> Iterator[list[bool]]:
         seeds = None
-        for texts in batches:
-            seeds = seeds or items.value.seeds(list(texts[:SAMPLE_TEXTS]))
-            yield pd.Series([next(found(seeds, word_hashes(t)[0]), None) is None for t in texts], dtype=bool)
+        for texts in parts:
+            seeds = seeds or items.value.seeds(texts[:SAMPLE_TEXTS])
+            yield [next(found(seeds, word_hashes(t)[0]), None) is None for t in texts]
 
-    return run
+    return judge
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without the rows in which an item is found; each row is judged in place, by its text alone, and all columns stay."""
     out = docs
     for block in item_blocks(benchmark, threshold, least_words):
-        out = out.where(_clean_udf(docs.sparkSession.sparkContext.broadcast(block))(F.col("text").cast("string")))
+        out = by_text(out, _clean(docs.sparkSession.sparkContext.broadcast(block)))
     return out

@@ -31,13 +31,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, slices
+from lumisift.llm.common import by_text, id_text, slices
 
 KINDS = ("assign", "access", "hex")
 WINDOW_BYTES, FEED_BYTES = 16 << 20, 256
@@ -340,18 +339,10 @@ def redact(text: str | None) -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the findings in text replaced by marks, and n_chars, where there is one, counted anew; every row and column stays."""
-    out = docs.withColumn("text", _redacted_udf()(docs["text"].cast("string")))
+    out = by_text(docs, lambda parts: ([redact(t) for t in texts] for texts in parts), column=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(docs["n_chars"].isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
 
 
-def _redacted_udf():
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in text], dtype=object)
-
-    return run
-
-
 __all__ = ["KINDS", "base_spans", "find", "listed", "redact", "redacted", "secrets"]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import id_text, slices
+from lumisift.llm.common import by_text, id_text, slices
 
 CATEGORIES = ("low_quality", "common", "rare", "toxic")
 SAMPLE, FEATURES, FOLDS = 2000, 512, 5
@@ -151,7 +151,7 @@ class Chain:
 
     def names(self, words: Iterable[str]) -> set[str]:
         """Features that these words show."""
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         on: set[str] = set()
         for word in words:
@@ -273,9 +273,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the chain rejects; scored in place, so no row moves. Rows with a null or word-free text stay."""
     model = docs.sparkSession.sparkContext.broadcast(chain_of(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
+    def clean(parts: Iterator[list[str | None]]) -> Iterator[list[bool]]:
         m = model.value
-        return pd.Series([not m.judged(t)[1] for t in text], dtype=bool)
+        for texts in parts:
+            yield [not m.judged(t)[1] for t in texts]
 
-    return docs.where(clean(F.col("text").cast("string")))
+    return by_text(docs, clean)
