@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lumisift.llm.common import id_text, slices
 
-GENERATION, TOGETHER = 300_000, 32
+GENERATION, TOGETHER = 400_000, 32
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
 _PUNCTUATION, _LAST_LETTER = ".,;:!?*#$%&()[]{}<>/|=+-@^~\"_", "\u024f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
