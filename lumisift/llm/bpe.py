@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from lumisift.llm.common import id_text, slices
 
-GENERATION, TOGETHER = 400_000, 32
+#: Pieces that a generation of a worker's cache holds, and texts that are encoded together.
+GENERATION, TOGETHER = 100_000, 32
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
 _PUNCTUATION, _LAST_LETTER = ".,;:!?*#$%&()[]{}<>/|=+-@^~\"_", "\u024f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -93,7 +94,7 @@ def _of_ranks(path: str):
 class Codec:
     """Encodes texts to little-endian ids and decodes them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.words, of = _of_ranks(path) if path.endswith(".tiktoken") else _of_file(path)
         size = max(of) + 1
@@ -103,6 +104,7 @@ class Codec:
         self.firsts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.shown = dict(enumerate(byte_characters()))
         self.tails: dict[str, bytes] = {}
+        self.generation = generation or GENERATION
         self.known: dict = {}
         self.older: dict = {}
 
@@ -188,7 +190,7 @@ class Codec:
             yield from self._encode(texts[at : at + TOGETHER])
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > GENERATION:
+        if len(self.known) > self.generation:
             self.older, self.known = self.known, {}
         rows, joined, alone = [], set(), set()
         for text in texts:
@@ -232,9 +234,9 @@ class Codec:
 
 
 @cache
-def codec(path: str) -> Codec:
+def codec(path: str, generation: int | None = None) -> Codec:
     """One for each worker process."""
-    return Codec(path)
+    return Codec(path, generation)
 
 
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, split_tokens long, round_trip boolean"

@@ -39,6 +39,8 @@ from lumisift.llm.common import HOT_SHARE, hot_join, id_text, remove, slices
 from lumisift.llm.words import mix
 
 END_ID = 0
+#: Pieces that a generation of a worker's cache holds: more than elsewhere, encoding is most of the work here.
+CACHED_PIECES = 600_000
 WINDOW, MASK, SHORTEST, LONGEST = 16, (1 << 10) - 1, 256, 4096
 _POLYNOMIAL = 0xEDB88320
 
@@ -119,7 +121,7 @@ _STAGED_SQL = "kind string, key binary, ids binary, doc_id long, n_tokens long,
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, CACHED_PIECES)
         end = np.array([END_ID], dtype=c.dtype).tobytes()
         sent: set[bytes] = set()
         for batch in slices(batches):
