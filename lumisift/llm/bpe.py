@@ -28,11 +28,12 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from lumisift.llm.common import id_text, slices
 
 #: Pieces that a generation of a worker's cache holds, and texts that are encoded together.
 GENERATION, TOGETHER = 100_000, 32
+#: Bytes of texts whose pieces Arrow tells apart at one time (a longer text is taken whole), and new pieces that go to the library together.
+COLUMN_BYTES, LEARNED = 1 << 23, 1024
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
 _PUNCTUATION, _LAST_LETTER = ".,;:!?*#$%&()[]{}<>/|=+-@^~\"_", "\u024f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -91,6 +94,11 @@ def _of_ranks(path: str):
     return tokenizer, words, {r: t for t, r in ranks.items()}
 
 
+def _joined(values: pa.Array, starts: Iterable[int], between: str | bytes) -> pa.Array:
+    """The values of each run, which begin at starts, in one."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), values), pa.scalar(between, values.type))
+
+
 class Codec:
     """Encodes texts to little-endian ids and decodes them."""
 
@@ -108,9 +116,14 @@ class Codec:
         self.known: dict = {}
         self.older: dict = {}
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether every space and line end stands alone between other characters."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace())
+
     def _pieces(self, text: str) -> tuple[list, bool]:
         """Keys of the pieces; whether all may be encoded side by side."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+        if not self._plain(text):
             return self._any_pieces(text), False
         first, *lines = text.split("\n")
         out = first.split(" ")
@@ -189,9 +202,58 @@ class Codec:
         for at in range(0, len(texts), TOGETHER):
             yield from self._encode(texts[at : at + TOGETHER])
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """As encode, of a column: Arrow parts the texts and tells their pieces apart, and Python meets each piece of COLUMN_BYTES of texts once. Takes more memory than encode."""
+        at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // COLUMN_BYTES
+        ends = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        for begin, end in zip(ends, ends[1:], strict=False):
+            yield from self._encode_column(texts.slice(begin, end - begin))
+
+    def _encode_column(self, texts: pa.Array) -> list[bytes]:
+        own = texts.to_pylist()
+        plain = [bool(t) and self._plain(t) for t in own]
+        if (out := self._encode_plain(texts.filter(pa.array(plain, pa.bool_())))) is None:  # some hold other white space
+            plain = [p and _OTHER_SPACE.search(t) is None for p, t in zip(plain, own, strict=True)]
+            out = self._encode_plain(texts.filter(pa.array(plain, pa.bool_())))
+        done, others = iter(out), self.encode([t for p, t in zip(plain, own, strict=True) if not p])
+        return [next(done if p else others) for p in plain]
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes] | None:
+        """Of texts that are plain; None if a new piece holds other white space."""
+        if not len(texts):
+            return []
+        self._age()
+        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        pieces, starts = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        keys = _joined(pieces.dictionary, [0, len(pieces.dictionary)], " ")[0].as_py().split(" ")
+        found = list(map(self.known.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if _OTHER_SPACE.search("".join([keys[i] for i in gaps])):
+            return None
+        if self.older:
+            for i in gaps:
+                if (v := self.older.get(keys[i])) is not None:
+                    self.known[keys[i]] = found[i] = v
+            gaps = [i for i in gaps if found[i] is None]
+        for at in range(0, len(gaps), LEARNED):
+            self._learn([keys[i] for i in gaps[at : at + LEARNED]], [])
+        for i in gaps:
+            found[i] = self.known[keys[i]]
+        codes = pieces.indices.to_numpy().copy()
+        first = codes[starts[:-1]].tolist()  # the first piece of a text has no space before it
+        alone = {code: len(keys) + i for i, code in enumerate(dict.fromkeys(first))}
+        codes[starts[:-1]] = [alone[code] for code in first]
+        own = [(keys[code],) for code in alone]
+        self._learn([], [k for k in own if k not in self.known])
+        ids = pa.array([*found, *(self.known[k] for k in own)], pa.large_binary()).take(pa.array(codes))
+        return _joined(ids, starts, b"").to_pylist()
+
+    def _age(self) -> None:
         if len(self.known) > self.generation:
             self.older, self.known = self.known, {}
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        self._age()
         rows, joined, alone = [], set(), set()
         for text in texts:
             keys, safe = self._pieces(text) if text else ([], True)

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lumisift.llm import words
 from lumisift.llm.bpe import codec
-from lumisift.llm.common import HOT_SHARE, hot_join, id_text, remove, slices
+from lumisift.llm.common import HOT_SHARE, SLICE_ROWS, hot_join, id_text, remove, slices
 from lumisift.llm.words import mix
 
 END_ID = 0
@@ -53,10 +54,9 @@ def cuts(ids: np.ndarray) -> list[int]:
     words._grow(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * words._UP[:n], out=total[1:])
-    at = np.arange(WINDOW, n + 1)
-    rolled = mix((total[at] - total[at - WINDOW]) * words._DOWN[at - WINDOW])
+    rolled = mix((total[WINDOW:] - total[:-WINDOW]) * words._DOWN[: n + 1 - WINDOW])
     out, begin = [], 0
-    for end in at[(rolled & np.uint64(MASK)) == 0].tolist():
+    for end in (np.flatnonzero((rolled & np.uint64(MASK)) == 0) + WINDOW).tolist():
         while end - begin > LONGEST:
             begin += LONGEST
             out.append(begin)
@@ -124,21 +124,25 @@ def _encode(path: str):
         c = codec(path, CACHED_PIECES)
         end = np.array([END_ID], dtype=c.dtype).tobytes()
         sent: set[bytes] = set()
-        for batch in slices(batches):
-            chunks, recipes = {}, []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), c.encode(batch.column("text").to_pylist()), strict=True):
-                data += end
-                width, begin, hashes, sizes = c.dtype.itemsize, 0, [], []
-                for stop in cuts(c.ids(data)):
-                    own = data[begin * width : stop * width]
-                    hashes.append(address(own)), sizes.append(stop - begin)
-                    if hashes[-1] not in sent:
-                        chunks[hashes[-1]] = own
-                        sent.add(hashes[-1])
-                    begin = stop
-                recipes.append((doc, len(data) // width, hashes, sizes, merkle_root(hashes)))
-            n, m = len(chunks), len(recipes)
-            yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array([*chunks, *(r[4] for r in recipes)], pa.binary()), pa.array([*chunks.values(), *[None] * m], pa.binary()), *(pa.array([*[None] * n, *(r[i] for r in recipes)], k.type) for i, k in enumerate(list(_STAGED)[3:]))], schema=_STAGED)
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            coded = zip(batch.column("doc_id").to_pylist(), c.encode_column(batch.column("text")), strict=True)
+            while rows := list(islice(coded, SLICE_ROWS)):
+                chunks, recipes = {}, []
+                for doc, data in rows:
+                    data += end
+                    width, begin, hashes, sizes = c.dtype.itemsize, 0, [], []
+                    for stop in cuts(c.ids(data)):
+                        own = data[begin * width : stop * width]
+                        hashes.append(address(own)), sizes.append(stop - begin)
+                        if hashes[-1] not in sent:
+                            chunks[hashes[-1]] = own
+                            sent.add(hashes[-1])
+                        begin = stop
+                    recipes.append((doc, len(data) // width, hashes, sizes, merkle_root(hashes)))
+                n, m = len(chunks), len(recipes)
+                yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array([*chunks, *(r[4] for r in recipes)], pa.binary()), pa.array([*chunks.values(), *[None] * m], pa.binary()), *(pa.array([*[None] * n, *(r[i] for r in recipes)], k.type) for i, k in enumerate(list(_STAGED)[3:]))], schema=_STAGED)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,41 @@ def test_generations_change_nothing(monkeypatch):
     assert [c.ids(x).tolist() for x in c.encode(texts)] == [tiktoken_ids.of(t or "") for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS), max_size=12), st.integers(0, 3))
+def test_columns_are_encoded_like_texts(texts, skipped):
+    column = pa.array([*["left out"] * skipped, *texts, "a b"], pa.string()).slice(skipped, len(texts))
+    want = [tiktoken_ids.of(t or "") for t in texts]
+    for c in test_columns_are_encoded_like_texts.codecs:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(bpe, "COLUMN_BYTES", 40)
+            patch.setattr(bpe, "LEARNED", 3)
+            assert [c.ids(x).tolist() for x in c.encode_column(column)] == want
+        assert [c.ids(x).tolist() for x in c.encode_column(column)] == want
+        assert [c.ids(x).tolist() for x in c.encode(texts)] == want
+
+
+test_columns_are_encoded_like_texts.codecs = [bpe.Codec(JSON, 20), bpe.Codec(RANKS, 20), bpe.Codec(JSON)]
+
+
+def test_store_looks_each_piece_up_once(monkeypatch):
+    class Counted(dict):
+        def __init__(self):
+            self.looked_up = 0
+
+        def get(self, *key):
+            self.looked_up += 1
+            return super().get(*key)
+
+    c = bpe.Codec(JSON)
+    c.known = known = Counted()
+    monkeypatch.setattr(idstore, "codec", lambda *_: c)
+    rows = pa.RecordBatch.from_pydict({"doc_id": [*range(900)], "text": [f"some words, and the {i % 9} others\nof line" for i in range(900)]})
+    out = pa.Table.from_batches(idstore._encode(JSON)(iter([rows])))
+    assert sorted(d for d in out["doc_id"].to_pylist() if d is not None) == [*range(900)]
+    assert known.looked_up <= 2 * (7 + 9)  # not 900 times the eight pieces of a text
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "héllo 😀", "x"), (2, None, "y"), (1, "héllo 😀", "x")], "doc_id long, text string, ids string")
     out = {r.doc_id: r for r in bpe.digests(df, RANKS).collect()}
