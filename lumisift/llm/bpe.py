@@ -45,6 +45,9 @@ GENERATION, TOGETHER = 100_000, 32
 COLUMN_BYTES, LEARNED = 1 << 23, 1024
 #: Behind a word these are one match of the pattern; letters up to here have been letters in every version of Unicode in use.
 _PUNCTUATION, _LAST_LETTER = ".,;:!?*#$%&()[]{}<>/|=+-@^~\"_", "\u024f"
+#: All those letters, and what is nothing but such a word, for Arrow.
+_LETTERS = "".join(c for c in map(chr, range(ord(_LAST_LETTER) + 1)) if c.isalpha())
+_WORD = rf"\A[{_LETTERS}]+\z"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -99,6 +102,11 @@ def _joined(values: pa.Array, starts: Iterable[int], between: str | bytes) -> pa
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), values), pa.scalar(between, values.type))
 
 
+def _list(values: pa.Array) -> list[str]:
+    """values.to_pylist() of texts without spaces, faster."""
+    return _joined(values, [0, len(values)], " ")[0].as_py().split(" ")
+
+
 class Codec:
     """Encodes texts to little-endian ids and decodes them."""
 
@@ -168,9 +176,7 @@ class Codec:
             else:
                 others.append(key)
         if words:
-            sent = "\n".join(words.values()).encode()
-            text = sent.decode("latin-1").translate(self.shown).replace(self.shown[10], " ")
-            self._part(list(words), self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, [len(w.encode()) for w in words.values()])
+            self._learn_matches(list(words), list(words.values()))
             end = self._tail("\n")
             for key in words:
                 if key[0] == "\n":
@@ -179,6 +185,11 @@ class Codec:
             self.known[key] = self.known[word] + self._tail(tail) if tail else self.known[word]
         return others
 
+    def _learn_matches(self, keys: list, words: list[str]) -> None:
+        """Learns words that are single matches of the pattern."""
+        text = "\n".join(words).encode().decode("latin-1").translate(self.shown).replace(self.shown[10], " ")
+        self._part(keys, self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, [len(w.encode()) for w in words])
+
     def _part(self, keys: list, ids: list[int], sizes: list[int]) -> None:
         """Gives each key its share of the ids: those of so many bytes."""
         own = np.array(ids, dtype=self.dtype)
@@ -203,7 +214,7 @@ class Codec:
             yield from self._encode(texts[at : at + TOGETHER])
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
-        """As encode, of a column: Arrow parts the texts and tells their pieces apart, and Python meets each piece of COLUMN_BYTES of texts once. Takes more memory than encode."""
+        """As encode, of a column: Arrow parts the texts and tells their pieces apart, and Python meets each word or other piece of COLUMN_BYTES of texts once. Takes more memory than encode."""
         at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // COLUMN_BYTES
         ends = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
         for begin, end in zip(ends, ends[1:], strict=False):
@@ -224,8 +235,36 @@ class Codec:
             return []
         self._age()
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
-        pieces, starts = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
-        keys = _joined(pieces.dictionary, [0, len(pieces.dictionary)], " ")[0].as_py().split(" ")
+        coded, starts = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        pieces = coded.dictionary
+        values = self._values(pieces)
+        if values is None:
+            return None
+        codes = coded.indices.to_numpy().copy()
+        first, at = np.unique(codes[starts[:-1]], return_inverse=True)  # the first piece of a text has no space before it
+        alone = [(k,) for k in _list(pieces.take(pa.array(first)))]
+        codes[starts[:-1]] = len(pieces) + at
+        self._learn([], [k for k in alone if k not in self.known])
+        own = pa.array([self.known[k] for k in alone], pa.large_binary())
+        return _joined(pa.concat_arrays([values, own]).take(pa.array(codes)), starts, b"").to_pylist()
+
+    def _values(self, pieces: pa.Array) -> pa.Array | None:
+        """The ids of different pieces; of one that is a word and punctuation each part is looked up by itself."""
+        if self.words is None:
+            return self._looked_up(pieces, [False] * len(pieces))
+        word = pc.utf8_rtrim(pieces, _PUNCTUATION)
+        simple = pc.match_substring_regex(word, _WORD)
+        words = pc.if_else(simple, word, pieces).dictionary_encode()
+        tails = pc.if_else(simple, pc.utf8_ltrim(pieces, _LETTERS), "").dictionary_encode()
+        values = self._looked_up(words.dictionary, pc.match_substring_regex(words.dictionary, _WORD).to_pylist())
+        if values is None:
+            return None
+        ends = pa.array(list(map(self._tail, _list(tails.dictionary))), pa.large_binary())
+        return pc.binary_join_element_wise(values.take(words.indices), ends.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+
+    def _looked_up(self, pieces: pa.Array, simple: list[bool]) -> pa.Array | None:
+        """The ids of different pieces, simple: those that are words; None if a new one holds other white space."""
+        keys = _list(pieces)
         found = list(map(self.known.get, keys))
         gaps = [i for i, v in enumerate(found) if v is None]
         if _OTHER_SPACE.search("".join([keys[i] for i in gaps])):
@@ -235,18 +274,14 @@ class Codec:
                 if (v := self.older.get(keys[i])) is not None:
                     self.known[keys[i]] = found[i] = v
             gaps = [i for i in gaps if found[i] is None]
-        for at in range(0, len(gaps), LEARNED):
-            self._learn([keys[i] for i in gaps[at : at + LEARNED]], [])
+        words, others = [keys[i] for i in gaps if simple[i]], [keys[i] for i in gaps if not simple[i]]
+        for at in range(0, len(words), LEARNED):
+            self._learn_matches(words[at : at + LEARNED], [" " + w for w in words[at : at + LEARNED]])
+        for at in range(0, len(others), LEARNED):
+            self._learn(others[at : at + LEARNED], [])
         for i in gaps:
             found[i] = self.known[keys[i]]
-        codes = pieces.indices.to_numpy().copy()
-        first = codes[starts[:-1]].tolist()  # the first piece of a text has no space before it
-        alone = {code: len(keys) + i for i, code in enumerate(dict.fromkeys(first))}
-        codes[starts[:-1]] = [alone[code] for code in first]
-        own = [(keys[code],) for code in alone]
-        self._learn([], [k for k in own if k not in self.known])
-        ids = pa.array([*found, *(self.known[k] for k in own)], pa.large_binary()).take(pa.array(codes))
-        return _joined(ids, starts, b"").to_pylist()
+        return pa.array(found, pa.large_binary())
 
     def _age(self) -> None:
         if len(self.known) > self.generation:
