@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions import vectors
+from lumisift.operators import similarity as near
+from lumisift.sources.shared import cut
 
 
 def pairs(origin: DataFrame, crawled: DataFrame, key: str = "article_id") -> DataFrame:
@@ -23,9 +25,21 @@ def nearest(both: DataFrame, similarity: Column, variant: str = "strict_positive
 
     strict_positive: only a similarity over 0 matches; any_sign: the best one always does.
     """
+    return _best(both.withColumn("score", F.round(similarity, 6)).where("score is not null"), variant, key)
+
+
+def nearest_vectors(origin: DataFrame, crawled: DataFrame, variant: str = "strict_positive", key: str = "article_id") -> DataFrame:
+    """nearest by cosine of origin's o_embedding and crawled's c_embedding inside each article, without making pairs: articles of any size are dealt to bounded blocks."""
+    queries = unit(origin, "o_embedding").select(F.col(key).alias("key"), F.col("origin_id").alias("query_id"), F.col("o_embedding").alias("vector"))
+    database = unit(crawled, "c_embedding").select(F.col(key).alias("key"), F.struct("crawled_pos", "crawled_id").alias("item_id"), F.col("c_embedding").alias("vector"))
+    found = near.near(queries, database, 1, keyed=True)
+    scored = found.select(F.col("key").alias(key), F.col("query_id").alias("origin_id"), "item_id.crawled_pos", "item_id.crawled_id", F.round("raw", near.DIGITS).alias("score"))
+    return _best(scored, variant, key)
+
+
+def _best(scored: DataFrame, variant: str, key: str) -> DataFrame:
     if variant not in ("strict_positive", "any_sign"):
         raise ValueError(f"variant is {variant}, not strict_positive or any_sign")
-    scored = both.withColumn("score", F.round(similarity, 6)).where("score is not null")
     if variant == "strict_positive":
         scored = scored.where("score > 0")
     best = F.max_by(F.struct("crawled_id", "score"), F.struct(F.col("score"), -F.col("crawled_pos")))
@@ -44,10 +58,10 @@ def matched(origin: DataFrame, crawled: DataFrame, difference: Column, most: flo
     An original with an embedding but without pixels, or without any match, has a null match; one without an embedding has no row.
     """
     known = origin.where("o_embedding is not null")
-    both = pairs(unit(known, "o_embedding"), unit(crawled, "c_embedding"), key)
-    same = identical(both.where("o_pixels is not null and c_pixels is not null"), difference, most, key)
-    rest = both.where("o_pixels is not null").join(same.select(key, "origin_id"), [key, "origin_id"], "left_anti")
-    close = nearest(rest.where("c_embedding is not null"), vectors.dot("o_embedding", "c_embedding"), "strict_positive", key)
+    shown = known.where("o_pixels is not null")
+    both = pairs(shown.drop("o_embedding"), crawled.where("c_pixels is not null").drop("c_embedding"), key)
+    same = cut(identical(both, difference, most, key))
+    close = nearest_vectors(shown.join(same.select(key, "origin_id"), [key, "origin_id"], "left_anti"), crawled, "strict_positive", key)
     found = same.unionByName(close)
     inside = known.join(crawled.select(key).distinct(), key, "left_semi")
     return inside.select(key, "origin_id").join(found, [key, "origin_id"], "left")

@@ -75,18 +75,17 @@ WITH pairs AS (
 ) SELECT query_id, item_id, score FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) = 1
 """)
 def v2_k4_temperature_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q, d = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("d"))
-    pairs = q.join(d, "label").where("query_id <> item_id").select("query_id", "item_id", F.round(vectors.temperature_dot("q", "d"), 6).alias("score"))
-    return similarity.arg_max(pairs, "query_id", "item_id", "score", "item_id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), "vec_id", F.col("embedding").alias("vector"))
+    found = similarity.near(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 1, 1 / vectors.TEMPERATURE, exclude_self=True, keyed=True)
+    return similarity.arg_max(found.select("query_id", "item_id", F.round(F.col("raw") / vectors.TEMPERATURE, 6).alias("score")), "query_id", "item_id", "score", "item_id")
 
 
-def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inside(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Original images (even ids) and crawled ones (odd ids) of each article, for which the label stands in."""
     e = table(spark, sf_dir, "embeddings")
     origin = e.where("vec_id % 2 = 0").select(F.col("label").alias("article_id"), F.col("vec_id").alias("origin_id"), F.col("embedding").alias("o_embedding"))
     crawled = e.where("vec_id % 2 = 1").select(F.col("label").alias("article_id"), F.col("vec_id").alias("crawled_id"), F.col("vec_id").alias("crawled_pos"), F.col("embedding").alias("c_embedding"))
-    return matching.pairs(matching.unit(origin, "o_embedding"), matching.unit(crawled, "c_embedding"))
+    return origin, crawled
 
 
 def _nearest_sql(where: str) -> str:
@@ -102,12 +101,12 @@ QUALIFY row_number() OVER (PARTITION BY article_id, origin_id ORDER BY score DES
 
 @query(_nearest_sql(""))
 def v4_j10_nearest_any_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(_inside(spark, sf_dir), vectors.dot("o_embedding", "c_embedding"), "any_sign")
+    return matching.nearest_vectors(*_inside(spark, sf_dir), "any_sign")
 
 
 @query(_nearest_sql("WHERE score > 0"))
 def v3_j9_nearest_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(_inside(spark, sf_dir), vectors.dot("o_embedding", "c_embedding"))
+    return matching.nearest_vectors(*_inside(spark, sf_dir))
 
 
 @query("""

@@ -202,3 +202,54 @@ def test_inference_failures_cost_one_row(spark):
     assert len(v[0].v) == inference.DIMENSIONS and v[2].v is None and sum(x * x for x in v[0].v) == pytest.approx(1)
     with pytest.raises(ValueError):
         inference.run_strategy(df, "unknown")
+
+
+def test_near_is_exact_within_keys_of_any_size(spark, monkeypatch):
+    """Large and small keys, repeated and zero vectors, ties after rounding: as all pairs ranked one by one, whatever the blocks."""
+    import random
+
+    random.seed(8)
+    v = [(i % 7 if i % 3 else 0, i, [random.choice((-1.0, 0.0, 0.5, 1.0, 1.0000001)) for _ in range(3)]) for i in range(160)]
+    v += [(9, 500, [1.0, 2.0, 3.0]), (None, 501, [1.0, 1.0, 1.0]), (0, 502, None), (0, 503, [1.0, None, 0.0])]
+    e = spark.createDataFrame(v, "key int, id long, vector array<double>")
+    q, d = e.withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "item_id")
+    real = [r for r in v if r[0] is not None and r[2] and None not in r[2]]
+    want = []
+    for key, i, x in real:
+        own = sorted((-round(2 * sum(a * b for a, b in zip(x, y, strict=True)), 6), j) for k, j, y in real if k == key and j != i)
+        want += [(key, i, j, n) for n, (_, j) in enumerate(own[:4], 1)]
+    for rows_, least in ((65_536, 2048), (65_536, 20), (9, 3)):
+        monkeypatch.setattr(similarity, "BLOCK_ROWS", rows_)
+        monkeypatch.setattr(similarity, "LEAST_ROWS", least)
+        found = similarity.near(q, d, 4, 2.0, exclude_self=True, keyed=True)
+        got = similarity.ranked(found.select("key", "query_id", "item_id", F.round(F.col("raw") * 2.0, 6).alias("score")), 4, "key", "query_id")
+        assert rows(got, "key", "query_id", "item_id", "rank") == sorted(want, key=repr)
+
+
+def test_best_products_hold_few_pairs_at_a_time(monkeypatch):
+    """Single precision, many that are nearly equal, and blocks searched in halves keep what all products in doubles give."""
+    import numpy as np
+
+    from lumisift.functions import nearest
+
+    rng = np.random.default_rng(3)
+    d = rng.standard_normal((5000, 8))
+    d[1000:3000] = d[0] + 1e-9 * rng.standard_normal((2000, 8))
+    d[3000:3500] = d[1]
+    d = d.astype(np.float32)
+    q = np.concatenate([d[:600:3], d[1000:1010], np.zeros((1, 8), np.float32)])
+    own = (np.arange(200), np.arange(0, 600, 3))
+    all_ = q.astype(float) @ d.T.astype(float)
+    all_[own] = -np.inf
+    for held in (2_000_000, 3000):
+        monkeypatch.setattr(nearest, "MOST_HELD", held)
+        r, c, raw = nearest.best(q, d, 5, 2e-8, own)
+        assert np.allclose(raw, all_[r, c]) and len(set(zip(r.tolist(), c.tolist(), strict=True))) == len(r)
+        found = {}
+        for i, j, x in sorted(zip(r.tolist(), c.tolist(), raw.tolist(), strict=True), key=lambda t: (t[0], -round(t[2], 6), t[1])):
+            found.setdefault(i, []).append((round(x, 6), j))
+        for i in range(len(q)):
+            want = sorted(((-round(float(x), 6), j) for j, x in enumerate(all_[i]) if x > -np.inf))[:5]
+            assert [(-s, j) for s, j in found[i][:5]] == want, i
+    kept = nearest.firsts_of_equal(d, 4)
+    assert len(kept) < 4600 and set(range(1000)) <= set(kept.tolist())
