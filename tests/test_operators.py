@@ -253,3 +253,16 @@ def test_best_products_hold_few_pairs_at_a_time(monkeypatch):
             assert [(-s, j) for s, j in found[i][:5]] == want, i
     kept = nearest.firsts_of_equal(d, 4)
     assert len(kept) < 4600 and set(range(1000)) <= set(kept.tolist())
+
+
+def test_expr_top_k_has_no_most_pairs(spark):
+    """More pairs than the plan by expressions once was allowed."""
+    n = 10_300
+    e = spark.range(n).select("id", F.array(F.cos(F.col("id") * 0.37), F.sin(F.col("id") * 0.37)).alias("vector"))
+    q, d = e.withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "item_id")
+    found = similarity.top_k(q, d, 2, 100.0, True, "expr")
+    assert found.count() == 2 * n
+    few = q.where("query_id % 500 = 3")
+    want = similarity.ranked(few.crossJoin(d.withColumnRenamed("vector", "w")).where("query_id <> item_id").select("query_id", "item_id", F.round(vectors.scaled_dot("vector", "w", 100.0), 6).alias("score")), 2)
+    cols = ("query_id", "item_id", "score", "rank")
+    assert rows(found.where("query_id % 500 = 3"), *cols) == rows(want, *cols)
