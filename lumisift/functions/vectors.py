@@ -36,9 +36,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def normalised(a: Column | str) -> Column:
-    """Null for a zero vector."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(_col(a), lambda x: x.cast("double") / size))
+    """Null for a zero vector. The norm is a lambda's argument, so that it isn't computed again for each component."""
+    own = F.transform(F.array(norm(a)), lambda size: F.when(size > 0, F.transform(_col(a), lambda x: x.cast("double") / size)))
+    return F.get(own, F.lit(0))
 
 
 def exp_scaled_dot(a: Column | str, b: Column | str, logit_scale: float) -> Column:

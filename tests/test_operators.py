@@ -266,3 +266,19 @@ def test_expr_top_k_has_no_most_pairs(spark):
     want = similarity.ranked(few.crossJoin(d.withColumnRenamed("vector", "w")).where("query_id <> item_id").select("query_id", "item_id", F.round(vectors.scaled_dot("vector", "w", 100.0), 6).alias("score")), 2)
     cols = ("query_id", "item_id", "score", "rank")
     assert rows(found.where("query_id % 500 = 3"), *cols) == rows(want, *cols)
+
+
+def test_nearest_vectors_as_nearest_of_all_pairs(spark):
+    import random
+
+    random.seed(4)
+    some = lambda: [random.choice((-1.0, 0.0, 0.0, 2.0)) for _ in range(3)]
+    o = spark.createDataFrame([(i % 5, f"o{i}", some() if i % 9 else None) for i in range(60)], "article_id int, origin_id string, o_embedding array<double>")
+    c = spark.createDataFrame([(i % 4, f"c{i:02d}", 100 - i, some() if i % 7 else None) for i in range(60)], "article_id int, crawled_id string, crawled_pos int, c_embedding array<double>")
+    both = matching.pairs(matching.unit(o, "o_embedding"), matching.unit(c, "c_embedding"))
+    cols = ("article_id", "origin_id", "filename", "score")
+    for variant in ("strict_positive", "any_sign"):
+        want = rows(matching.nearest(both, vectors.dot("o_embedding", "c_embedding"), variant), *cols)
+        assert rows(matching.nearest_vectors(o, c, variant), *cols) == want and len(want) > 20
+    with pytest.raises(ValueError):
+        matching.nearest_vectors(o, c, "other")
