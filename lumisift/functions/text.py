@@ -115,6 +115,14 @@ def marker(key: Column) -> Column:
     return F.concat(F.lit("<"), key, F.lit(">"))
 
 
+def title(html: Column | str) -> Column:
+    """What stands between the first <title> and </title>, '' if nothing does; a reference counts only with its semicolon, and &lt; &gt; &quot; &amp; are known."""
+    own = F.regexp_replace(F.regexp_extract(_col(html), r"(?s)<title>(.*?)</title>", 1), r"^\p{Zs}+|\p{Zs}+$(?!\n)", "")
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        own = F.replace(own, F.lit(name), F.lit(mark))
+    return own
+
+
 def keywords(c: Column | str) -> Column:
     return F.transform(F.split(_col(c), ",", -1), strip)
 

@@ -54,3 +54,12 @@ def test_rows_only(spark, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).columns == ["query_id", "item_id", "score", "rank"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_titles_of_odd_pages_same_as_sql(spark, duck, tmp_path):
+    """A reference without its semicolon, none known, doubled ones, white space, several titles, none, no page."""
+    inside = ["a&amp;&amp", "&amp", " A &amp; B ", "&amp;lt; &lt;b&gt; &quot;x&quot;", "&#38; &nbsp; &ampx", "\t x \n", "\u00a0 y\u2003", "x\n ", "x \n", "", "  ", "x</title><title>y", "a\nb", "\u00e9&lt"]
+    pages = [(i, f"<html><head><title>{t}</title></head></html>") for i, t in enumerate(inside)] + [(90, "<p>none"), (91, None), (92, "<TITLE>x</TITLE>"), (93, "<title>never ends"), (94, "<title></title><title>z</title>")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    want = duck.sql(ORACLES["h1_titles"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["h1_titles"](spark, str(tmp_path)).collect())) == sorted(want)
