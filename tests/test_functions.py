@@ -122,6 +122,45 @@ def test_near_match(part, text, most):
         assert distance(part, text[hit[0] : hit[1]]) <= most
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=3, max_size=40), st.text("abc", max_size=90), st.integers(1, 4), st.sampled_from([1, 3, 256]), st.sampled_from([0, 1, 99]))
+def test_near_match_is_the_first_run_s_best(part, text, most, strip, diagonals):
+    """All starts and ends one by one: the first run of near ends, its first best one, the latest start of that."""
+    if len(part) <= most:
+        return
+    ends = [min(distance(part, text[s:e]) for s in range(max(0, e - len(part) - most), e + 1)) for e in range(len(text) + 1)]
+    run = []
+    for e, d in enumerate(ends):
+        if d <= most:
+            run.append((d, e))
+        elif run:
+            break
+    want = None
+    if run:
+        d, e = min(run)
+        want = max(s for s in range(e + 1) if distance(part, text[s:e]) == d), e
+    before = fuzzy.STRIP, fuzzy.DIAGONALS
+    fuzzy.STRIP, fuzzy.DIAGONALS = strip, diagonals
+    try:
+        assert fuzzy.near_match(part, text, most) == want
+    finally:
+        fuzzy.STRIP, fuzzy.DIAGONALS = before
+
+
+def test_near_match_stops_at_the_match():
+    """A long part with a few edits is found in time that grows with its length, and what follows it isn't searched."""
+    import random
+    import time
+
+    random.seed(2)
+    some = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    part = some(6400)
+    text = part[:50] + part[51:3000] + "#" + part[3000:] + some(400_000)
+    began = time.process_time()
+    hit = fuzzy.near_match(part, text, len(part) // 10)
+    assert hit == (0, len(part)) and time.process_time() - began < 0.3
+
+
 def test_fuzzy_find(spark):
     df = spark.createDataFrame([("xx hello brave world yy", "hello brxve world"), ("abc", "zzzzzzzzzzzz"), (None, "a"), ("a", None)], "t string, p string")
     assert [r.r for r in df.select(fuzzy.fuzzy_find(F.col("t"), F.col("p")).alias("r")).collect()] == [3, -1, None, None]
