@@ -282,3 +282,16 @@ def test_nearest_vectors_as_nearest_of_all_pairs(spark):
         assert rows(matching.nearest_vectors(o, c, variant), *cols) == want and len(want) > 20
     with pytest.raises(ValueError):
         matching.nearest_vectors(o, c, "other")
+
+
+def test_models_get_few_inputs_at_a_time(spark):
+    """However many rows an Arrow batch has, a worker holds few texts and vectors as Python objects."""
+
+    class Counting(inference.StubClient):
+        def embed_texts(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    df = spark.range(3000).coalesce(1).select("id", F.when(F.col("id") % 10 != 3, F.col("id").cast("string")).alias("p"))
+    got = {r.id: r.v for r in df.select("id", inference.encode_text(F.col("p"), Counting).alias("v")).collect()}
+    assert len(got) == 3000 and all((v is None) == (i % 10 == 3) for i, v in got.items())
+    assert max(v[0] for v in got.values() if v) <= inference.SLICE_ROWS
