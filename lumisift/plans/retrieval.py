@@ -9,6 +9,7 @@ from lumisift.functions import vectors
 from lumisift.operators import diagnostics, matching, partitioning, rerank, resolve, similarity
 from lumisift.plans.registry import query, table
 from lumisift.sources import files
+from lumisift.sources.shared import cut
 
 SCALE, K = 100.0, 15
 _HITS = """
@@ -169,7 +170,7 @@ _FUSED = (
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = hits(spark, sf_dir)
+    own = cut(hits(spark, sf_dir))  # read twice, searched once
     candidates = own.where("rank <= 5").select("query_id", "rank", "item_id", ((F.col("item_id") % 7).cast("double") * 10).alias("text_sim"))
     return rerank.fused(candidates, own.where("item_id % 3 <> 0"))
 

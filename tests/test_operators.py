@@ -295,3 +295,27 @@ def test_models_get_few_inputs_at_a_time(spark):
     got = {r.id: r.v for r in df.select("id", inference.encode_text(F.col("p"), Counting).alias("v")).collect()}
     assert len(got) == 3000 and all((v is None) == (i % 10 == 3) for i, v in got.items())
     assert max(v[0] for v in got.values() if v) <= inference.SLICE_ROWS
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch, tmp_path):
+    """Queries that read the hits more than once write them first: their plans hold no search, the search runs once."""
+    from lumisift.plans import retrieval
+
+    counted = spark.sparkContext.accumulator(0)
+    real = retrieval.hits
+
+    def hits(spark_, sf_dir, strategy="block"):
+        def seen(batches):
+            for b in batches:
+                counted.add(b.num_rows)
+                yield b
+
+        found = real(spark_, sf_dir, strategy)
+        return found.mapInArrow(seen, found.schema)
+
+    monkeypatch.setattr(retrieval, "hits", hits)
+    e = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.lit(1).alias("label"))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for query in (retrieval.j3_v7_fused, retrieval.k7_reranked_input, retrieval.k7_reranked_score, retrieval.j2_j4_overridden, retrieval.s1_doubtful):
+        counted.value = 0
+        assert query(spark, str(tmp_path)).count() > 0 and counted.value == 60 * 15, query.__name__
