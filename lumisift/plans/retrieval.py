@@ -200,7 +200,7 @@ SELECT h.query_id, h.rank, CASE WHEN d.query_id IS NULL THEN CAST(h.item_id AS V
 FROM hits h LEFT JOIN doubt d USING (query_id) LEFT JOIN five f ON f.query_id = h.query_id AND f.at = h.rank"""
 )
 def j2_j4_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = hits(spark, sf_dir)
+    own = cut(hits(spark, sf_dir))  # read four times, searched once
     doubt = diagnostics.doubtful(diagnostics.query_stats(own))
     five = partitioning.members(own.where("rank <= 5"), doubt, "query_id").select("query_id", "rank", "item_id", ((F.col("item_id") % 7).cast("double") * 10).alias("text_sim"))
     return rerank.overridden(own, rerank.reranked(rerank.fused(five, own), "score"), K)
