@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisift.sources.shared import cut
+
 LIST_SIZE = 50
 
 
@@ -42,5 +44,6 @@ def first_of_each(blocks: list[DataFrame], key: str = "query_id", place: str = "
 
 
 def doubtful(stats: DataFrame, n: int = LIST_SIZE) -> DataFrame:
-    """Highest entropy, then smallest gap, then lowest top score; each query once."""
+    """Highest entropy, then smallest gap, then lowest top score; each query once. stats are worked out once and read three times."""
+    stats = cut(stats)
     return first_of_each([extremes(stats, "entropy", True, n), extremes(stats, "gap", False, n), extremes(stats, "low_top1_sim", False, n)])

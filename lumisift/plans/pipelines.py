@@ -1,4 +1,4 @@
-"""The three jobs from end to end, each as lazily joined tables: nothing is written between their stages."""
+"""The three jobs from end to end, each as lazily joined tables: only nearest neighbours, which all of retrieve reads, are written between stages."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lumisift.functions import html
 from lumisift.operators import diagnostics, evidence, inference, matching, partitioning, positions, prompts, rerank, resolve, similarity
+from lumisift.sources.shared import cut
 
 
 def retrieve(queries: DataFrame, database: DataFrame, image_article: DataFrame, articles: DataFrame, text_scores: DataFrame | None = None, k: int = similarity.TOP_K, scale: float = 1.0, order: str = "input", slots: int = resolve.SLOTS) -> dict[str, DataFrame]:
     """hits, doubtful queries, hits after reranking of those (with text_scores(query_id, item_id, text_sim)), context, rejected queries, article slots."""
-    hits = similarity.top_k(queries, database, k, scale)
+    hits = cut(similarity.top_k(queries, database, k, scale))
     doubtful = diagnostics.doubtful(diagnostics.query_stats(hits))
     final = hits
     if text_scores is not None:
