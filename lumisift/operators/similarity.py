@@ -197,10 +197,11 @@ def ranked(hits: DataFrame, k: int, *by: str) -> DataFrame:
 def top_k(queries: DataFrame, database: DataFrame, k: int = TOP_K, scale: float = 1.0, exclude_self: bool = False, strategy: str = "block") -> DataFrame:
     """query_id, item_id, score, rank for queries(query_id, vector) against database(item_id, vector). Null vectors take no part."""
     found = near(queries, database, k, scale, exclude_self)
+    best = ranked(found.select("query_id", "item_id", F.round(F.col("raw") * scale, DIGITS).alias("score")), k)
     if strategy == "expr":
         q, d = (df.where("vector is not null").withColumnRenamed("vector", n) for df, n in ((queries, "q"), (database, "d")))
-        return ranked(scored_pairs(found, q, d, vectors.scaled_dot("q", "d", scale)), k)
-    return ranked(found.select("query_id", "item_id", F.round(F.col("raw") * scale, DIGITS).alias("score")), k)
+        return ranked(scored_pairs(best, q, d, vectors.scaled_dot("q", "d", scale)), k)
+    return best
 
 
 def arg_max(hits: DataFrame, key: str, item: str, score: str, position: str) -> DataFrame:
